@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import interleaved, main_text, mixing, quality, token_count, url_filter
+from tessera.llm import interleaved, main_text, mixing, near_duplicates, packing, pseudonyms, quality, token_count, url_filter
 from tessera.llm.common import table
 
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
@@ -31,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -40,10 +44,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pages = docs.select("doc_id", interleaved.as_page(F.col("doc_id"), F.col("text")).alias("html"))
@@ -52,7 +64,7 @@ def op10_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filter, op3_mixing, op5_main_text, op6_quality, op8_token_counts, op10_interleaved)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filter, op3_mixing, op4_packing, op5_main_text, op6_quality, op7_near_duplicates, op8_token_counts, op9_pseudonyms, op10_interleaved)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""
