@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import WORD, batch_bytes, spool
+from tessera.llm.common import WORD, batch_bytes, free_name, spool
 
 SPLIT = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -85,20 +86,20 @@ FALSE_ALARMS = 0.001
 RULES = ("length", "symbols", "case", "repeats", "marks", "lines", "words", "digits")
 
 
-def votes() -> dict[str, Column]:
+def votes(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """Per rule 1 (good), -1 (bad) or 0 (abstains)."""
-    n, c = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_cased"), F.lit(1))
+    n, c = F.greatest(of("n_words"), F.lit(1)), F.greatest(of("n_cased"), F.lit(1))
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
-    length = F.col("word_chars") / n
+    length = of("word_chars") / n
     return {
-        "length": vote(F.col("n_words") < 10, F.col("n_words") >= 50),
-        "symbols": vote(F.col("n_symbols") > 0.3 * n, F.col("n_symbols") < 0.05 * n),
-        "case": vote(F.col("n_upper") > 0.5 * c, F.col("n_upper") < 0.2 * c),
-        "repeats": vote(F.col("n_repeat_words") > 0.2 * n, F.col("n_repeat_words") < 0.05 * n),
-        "marks": vote(F.col("n_marks") > 0.3 * n, F.col("n_marks") < 0.05 * n),
-        "lines": vote(F.col("n_dup_lines") > 0.5 * F.greatest(F.col("n_lines"), F.lit(1)), F.lit(False)),
+        "length": vote(of("n_words") < 10, of("n_words") >= 50),
+        "symbols": vote(of("n_symbols") > 0.3 * n, of("n_symbols") < 0.05 * n),
+        "case": vote(of("n_upper") > 0.5 * c, of("n_upper") < 0.2 * c),
+        "repeats": vote(of("n_repeat_words") > 0.2 * n, of("n_repeat_words") < 0.05 * n),
+        "marks": vote(of("n_marks") > 0.3 * n, of("n_marks") < 0.05 * n),
+        "lines": vote(of("n_dup_lines") > 0.5 * F.greatest(of("n_lines"), F.lit(1)), F.lit(False)),
         "words": vote((length < 2) | (length > 20), (length > 3) & (length < 10)),
-        "digits": vote(F.col("n_digits") > F.col("word_chars") * 0.6, F.lit(False)),
+        "digits": vote(of("n_digits") > of("word_chars") * 0.6, F.lit(False)),
     }
 
 
@@ -141,22 +142,52 @@ def posterior(seen: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1] + math.log((1 - share) / share), -700, 700)))
 
 
-def good_probability(share: float, table: np.ndarray) -> Column:
-    """The posterior as an expression over the vote columns."""
+def patterns_of(counts: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """Vote patterns and their numbers, over all rows."""
+    rows = counts.select(*[v.alias(k) for k, v in votes().items()]).groupBy(*RULES).agg(F.count("*").alias("n")).orderBy(*RULES)
+    return [(tuple(r[:-1]), r[-1]) for r in rows.collect()]
+
+
+def good_probability(share: float, table: np.ndarray, of: Callable[[str], Column] = F.col) -> Column:
+    """The posterior as an expression over the counts."""
     total = F.lit(math.log(share / (1 - share)))
-    for k, rule in enumerate(RULES):
+    for k, vote in enumerate(votes(of).values()):
         gain = [float(math.log(table[k, 1, v] / table[k, 0, v])) for v in range(3)]
-        total = total + F.when(F.col(f"vote_{rule}") < 0, gain[0]).when(F.col(f"vote_{rule}") > 0, gain[2]).otherwise(gain[1])
+        total = total + F.when(vote < 0, gain[0]).when(vote > 0, gain[2]).otherwise(gain[1])
     return 1 / (1 + F.exp(-total))
 
 
+def failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
+
+
+def verdict(share: float, table: np.ndarray, of: Callable[[str], Column] = F.col) -> Column:
+    return ~failed(of) & (good_probability(share, table, of) >= 0.5)
+
+
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: its id, COUNTS, base_failed, the rules' votes, p_good and kept."""
+    """Per row of docs: its id, COUNTS, base_failed, p_good and kept."""
     counts = spool(measured(docs, doc_id, text))
-    n = F.col("n_words")
-    failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
-    voted = counts.withColumns({"base_failed": failed} | {f"vote_{k}": v for k, v in votes().items()})
-    names = [f"vote_{r}" for r in RULES]
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()]
-    out = voted.withColumn("p_good", good_probability(*fit(patterns)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)).withColumnRenamed("id", doc_id)
+    model = fit(patterns_of(counts))
+    return counts.withColumns({"base_failed": failed(), "p_good": good_probability(*model), "kept": verdict(*model)}).withColumnRenamed("id", doc_id)
+
+
+def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept.
+
+    The patterns of all rows are counted first; then each row is measured again where it lies, so no text is moved.
+    """
+    share, table = fit(patterns_of(measured(docs, doc_id, text)))
+    rows = free_name(docs, "counts")
+    batch_bytes(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField(rows, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [dict(zip(COUNTS, counts_of(x.as_py()), strict=True)) for x in b.column(at)]
+            column = pa.array(found, pa.struct([(c, pa.int64()) for c in COUNTS]))
+            yield pa.RecordBatch.from_arrays([*b.columns, column], [*b.schema.names, rows])
+
+    counted = docs.mapInArrow(run, schema)
+    return counted.filter(verdict(share, table, lambda c: F.col(rows)[c])).select(*docs.columns)

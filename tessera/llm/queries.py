@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import interleaved, main_text, mixing, near_duplicates, packing, pseudonyms, quality, token_count, url_filter
+from tessera.llm import interleaved, main_text, mixing, near_duplicates, packing, pseudonyms, quality, repeats, token_count, url_filter
 from tessera.llm.common import table
 
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -64,7 +68,7 @@ def op10_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filter, op3_mixing, op4_packing, op5_main_text, op6_quality, op7_near_duplicates, op8_token_counts, op9_pseudonyms, op10_interleaved)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_url_filter, op3_mixing, op4_packing, op5_main_text, op6_quality, op7_near_duplicates, op8_token_counts, op9_pseudonyms, op10_interleaved)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""
