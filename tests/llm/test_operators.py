@@ -100,7 +100,7 @@ def test_url_filter(spark):
 def test_cascade_is_exact_when_filters_are_small(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key")).cache()
     listed = universe.filter(F.xxhash64("key") % 10 == 0)
-    levels = url_filter.cascade(universe, listed, "key", bits_per_key=1)
+    levels = url_filter.cascade(universe, listed, "key", bits_per_key=2)
     assert len(levels) > 1
     got = {r.key for r in universe.filter(url_filter.member(levels, F.col("key"))).collect()}
     assert got == {r.key for r in listed.collect()}
@@ -138,14 +138,15 @@ def test_mixing(spark):
         assert x.taken in (0, x.size, 2 * x.size, 3 * x.size)
         taken[source[x.doc_id]] += x.taken
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 0.02 * t + 30
+        longest = max(len(t.split()) for _, t, x in rows if x == s)
+        assert abs(taken[s] - t) <= longest / 2
     assert sorted(got) == sorted(mixing.mix(df.repartition(7)).collect())
     assert mixing.mix(empty(spark)).count() == 0
 
 
 def test_mixing_prefers_high_inclusion_odds(spark):
     df = spark.createDataFrame([(i, "w " * (5 if i % 2 else 500), s) for i in range(2000) for s in ["a"]] + [(9999, "w " * 300_000, "b")], "doc_id long, text string, source string")
-    got = mixing.mix(df, cap=1, weights=(1, 9)).filter("doc_id < 9999").collect()
+    got = mixing.mix(df, share=0.5, cap=1, weights=(1, 9)).filter("doc_id < 9999").collect()
     share = lambda odd: np.mean([x.copies for x in got if x.doc_id % 2 == odd])
     assert share(1) > share(0)
 
