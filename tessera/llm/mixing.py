@@ -6,7 +6,9 @@ A source with target t and s words takes each document ``floor(t / s)`` times fo
 without repeats: a document's inclusion probability p is the left share of its source, times (mean size / its size) to
 the power ``lean``, since a long document uses up more of the words; the ranking
 value is the odds of a random number over the odds of p, and documents enter in its order until the words are used up.
-A document that is longer than what is left is passed over; ``ROUNDS`` more passes fill that gap with shorter ones.
+A document that is longer than what is left is passed over: of ``ROUNDS`` passes, each fills the gap of the one before
+with shorter documents, and in ``REFILLS`` last ones short documents may enter once more, up to the cap, where long ones
+cannot come near the target.
 
 Nothing of a source meets in one task: running sums are taken in slices of a source (``running_sum``), and per source
 there is one row. The random number is a digest of the seed and the id, so that reruns agree; rows with the same id
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, free_name, running_sum, small, spool, uniform
 
 WEIGHTS = (5, 2, 1)
-ROUNDS = 4
+ROUNDS, REFILLS = 3, 2
 
 
 def words_in(text: Column) -> Column:
@@ -70,16 +72,18 @@ def take(sizes: DataFrame, share: float = 1.0, cap: int = 3, weights: tuple[int,
     value = odds(uniform(seed, F.col("id"))) / odds(tilted)
     # As a position in (0, 1): odds of the source's share, so that positions are spread about evenly.
     scaled = value * odds(share_left)
-    df = spool(df.withColumns({"copies": whole, "left": left, "rank": scaled / (1 + scaled), "in": F.lit(False)}).drop("n_docs"))
-    for _ in range(ROUNDS):
-        open_rows = spool(df.filter(~F.col("in") & (F.col("size") > 0) & (F.col("size") <= F.col("left"))).select("row", "source", "size", "left", "rank"))
+    df = spool(df.withColumns({"copies": whole, "left": left, "rank": scaled / (1 + scaled), "in": F.lit(0)}).drop("n_docs"))
+    again = F.col("copies") + F.col("in")
+    for k in range(ROUNDS + REFILLS):
+        may = F.col("in") == 0 if k < ROUNDS else again < cap
+        open_rows = spool(df.filter(may & (F.col("size") > 0) & (F.col("size") <= F.col("left"))).select("row", "source", "size", "left", "rank"))
         summed = running_sum(open_rows, ["source"], "rank", "size", "upto", "row").filter(F.col("upto") <= F.col("left"))
         chosen = spool(summed.select(F.col("row").alias("__row"), "size", F.col("source").alias("__source")))
         used = small(spool(chosen.groupBy("__source").agg(F.sum("size").alias("used"))))
-        df = df.join(chosen.select("__row", F.lit(True).alias("new")), F.col("row") == F.col("__row"), "left").drop("__row")
+        df = df.join(chosen.select("__row", F.lit(1).alias("new")), F.col("row") == F.col("__row"), "left").drop("__row")
         df = df.join(used, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-        df = spool(df.withColumns({"in": F.col("in") | F.coalesce("new", F.lit(False)), "left": F.col("left") - F.coalesce("used", F.lit(0))}).drop("new", "used"))
-    return df.withColumn("copies", F.col("copies") + F.col("in").cast("long")).drop("left", "rank", "in")
+        df = spool(df.withColumns({"in": F.col("in") + F.coalesce("new", F.lit(0)), "left": F.col("left") - F.coalesce("used", F.lit(0))}).drop("new", "used"))
+    return df.withColumn("copies", again.cast("long")).drop("left", "rank", "in")
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str, row: Column) -> DataFrame:
