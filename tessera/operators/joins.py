@@ -36,11 +36,12 @@ def in_collection(df: DataFrame, column: str, collections: DataFrame, collection
     if own.limit(MOST_IDS + 1).count() > MOST_IDS:
         raise QueryError(f"a collection has at most {MOST_IDS} ids")
     kind = kind_of(df.schema, column)
-    how = "left_anti" if negated else "left_semi"
     if isinstance(kind, T.ArrayType):
-        ids = own.select(F.col("entity_id").cast(kind.elementType).alias("__id"))
-        return df.join(F.broadcast(ids), F.array_contains(F.col(column), F.col("__id")), how)
-    return df.join(own.select(F.col("entity_id").cast(kind).alias("__id")), F.col(column) == F.col("__id"), how)
+        # No more than MOST_IDS values: a hash set in the filter, so rows with arrays need no join.
+        ids = [r.id for r in own.select(F.col("entity_id").cast(kind.elementType).alias("id")).distinct().collect()]
+        found = F.coalesce(F.exists(column, lambda x: F.coalesce(x.isin(*ids), F.lit(False))), F.lit(False)) if ids else F.lit(False)
+        return df.filter(~found if negated else found)
+    return df.join(own.select(F.col("entity_id").cast(kind).alias("__id")), F.col(column) == F.col("__id"), "left_anti" if negated else "left_semi")
 
 
 def named_by(df: DataFrame, row_id: str, edges: DataFrame, source: str, target: str, of: object, negated: bool = False) -> DataFrame:

@@ -605,3 +605,92 @@ def rank_page(spark, folder):
     """Places on a page; only ever over a page's few rows."""
     page = paging.page(scan(spark, folder, "nation"), [("n_name", False)], "n_nationkey", 1, 200)
     return page.select("n_nationkey", F.rank().over(Window.orderBy("n_name")).alias("place"))
+
+
+# Shapes of results.
+
+
+@query(f"with {TOKENS} select doc_id, array_to_string(t[:30], ' ') as text from toks where len(t) > 0")
+def decode_positions(spark, folder):
+    """Word positions as JSON, decoded into text again."""
+    first = F.slice(words.tokens(F.col("text")), 1, 30)
+    at = F.transform(F.array_distinct(first), lambda w: F.struct(w.alias("key"), F.filter(F.transform(first, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("value")))
+    df = scan(spark, folder, "documents").select("doc_id", F.to_json(F.map_from_entries(at)).alias("index"))
+    df = tables.positions_of_words(df, "index", "positions").filter(F.size("positions") > 0)
+    return df.select("doc_id", tables.text_of_positions("positions").alias("text"))
+
+
+@query("select o_orderkey, cast(count(l_orderkey) filter (l_returnflag <> 'R') as integer) as n_lines from orders left join lineitem on l_orderkey = o_orderkey group by 1")
+def scrub_elements(spark, folder):
+    return tables.with_elements(nested_orders(spark, folder), "lines", lambda x: x["l_returnflag"] != "R", "n_lines").select("o_orderkey", "n_lines")
+
+
+@query("select r_regionkey, case r_name when 'ASIA' then 'Asia and Pacific' else r_name end as r_name from region")
+def override_names(spark, folder):
+    return tables.overridden(scan(spark, folder, "region").withColumn("k", F.col("r_name")), "k", "r_name", {"ASIA": "Asia and Pacific"}).select("r_regionkey", "r_name")
+
+
+@query("select s_suppkey, s_name || ' (' || n_name || ', ' || r_name || ')' as hint from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def completion_hint(spark, folder):
+    df = joins.with_names(scan(spark, folder, "supplier"), "s_nationkey", scan(spark, folder, "nation").select("n_nationkey", F.struct("n_name", "n_regionkey").alias("n")), "n_nationkey", "n", "n")
+    df = joins.with_names(df.withColumn("r", F.col("n.n_regionkey")), "r", scan(spark, folder, "region"), "r_regionkey", "r_name", "region")
+    return df.select("s_suppkey", F.concat("s_name", F.lit(" ("), "n.n_name", F.lit(", "), "region", F.lit(")")).alias("hint"))
+
+
+@query("select event_type as key, count(*) as count from events group by 1")
+def map_to_rows(spark, folder):
+    counts = groups.terms(scan(spark, folder, "events"), "event_type")
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct("key", "count"))).alias("m")).select(tables.map_rows("m").alias("x")).select("x.key", "x.count")
+
+
+@query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_partkey in (3, 14, 15))")
+def semi_collection_array(spark, folder):
+    rows = spark.createDataFrame([("col_p", "part", str(k)) for k in (3, 14, 15)], "collection_id string, entity_type string, entity_id string")
+    return joins.in_collection(nested_orders(spark, folder), "lines.l_partkey", rows, "col_p", "part").select("o_orderkey")
+
+
+@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_partkey in (3, 14, 15))")
+def anti_collection_array(spark, folder):
+    rows = spark.createDataFrame([("col_p", "part", str(k)) for k in (3, 14, 15)], "collection_id string, entity_type string, entity_id string")
+    return joins.in_collection(nested_orders(spark, folder), "lines.l_partkey", rows, "col_p", "part", negated=True).select("o_orderkey")
+
+
+@query(rf"with {TOKENS} select doc_id from toks where list_contains(list_transform(t, lambda x: regexp_replace(x, '^(.*?\p{{L}}{{3}})(ations|ation|ingly|edly|ness|ing|ies|ied|ed|ly|es|s)$', '\1')), 'ther')")
+def search_stemmed(spark, folder):
+    return scan(spark, folder, "documents").filter(words.has_all(words.stems(F.col("text")), ["ther"])).select("doc_id")
+
+
+@query(rf"with {JOINED} select doc_id from j where contains(strip_accents(s), ' leeau ')")
+def search_folded(spark, folder):
+    return scan(spark, folder, "documents").filter(words.has_phrase(words.folded(F.col("text")), "leeau")).select("doc_id")
+
+
+@query()
+def search_fragments(spark, folder):
+    df = scan(spark, folder, "documents").filter(F.contains(F.lower("text"), F.lit("worthless")))
+    return df.select("doc_id", F.explode(words.fragments(F.col("text"), ["worthless"])).alias("fragment"))
+
+
+@query("select 'nation' as entity, cast(n_nationkey as bigint) as id, n_name as name from nation where n_name ilike 'nation\\_1%' escape '\\' union all select 'region', r_regionkey, r_name from region where r_name ilike 'nation 1%'")
+def autocomplete_all(spark, folder):
+    rename = lambda t, k, n: t.select(F.col(k).cast("long").alias("id"), F.col(n).alias("name"))
+    df = joins.union_all({"nation": rename(scan(spark, folder, "nation"), "n_nationkey", "n_name"), "region": rename(scan(spark, folder, "region"), "r_regionkey", "r_name")})
+    return lookup.completions(df, "id", "name", "nation_1", limit=100).select("entity", "id", "name")
+
+
+@query("select s_suppkey from supplier where lower(s_name) = 'supplier#000000007'")
+def lookup_name(spark, folder):
+    return lookup.by_name(scan(spark, folder, "supplier"), "s_name", "Supplier#000000007").select("s_suppkey")
+
+
+@query("select * from (values ('https://example.org/w123', 'W123', 'works'), ('a45', 'A45', 'authors'), ('x', null, null)) t(raw, id, entity)")
+def entity_of_id(spark, folder):
+    df = spark.createDataFrame([("https://example.org/w123",), ("a45",), ("x",)], "raw string")
+    return df.select("raw", ids.entity_id(F.col("raw"), "WA").alias("id"), ids.entity_of(F.col("raw"), {"W": "works", "A": "authors"}).alias("entity"))
+
+
+@query(f"with {Q0}, h as (select vec_id, {COSINE} as s from embeddings, q order by s desc, vec_id limit 10) select vec_id, text from h join documents on doc_id = vec_id")
+def knn_documents(spark, folder):
+    """The texts of the nearest vectors: a join of ten rows."""
+    hits = vectors.nearest(scan(spark, folder, "embeddings"), "vec_id", "embedding", first_vector(spark, folder)).select("vec_id")
+    return hits.join(scan(spark, folder, "documents"), F.col("doc_id") == F.col("vec_id")).select("vec_id", "text")

@@ -19,6 +19,11 @@ def write(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """A table whose rows are dealt to buckets by key: lookups read one bucket, joins on the key move no row."""
+    df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+
+
 def export_groups(buckets: DataFrame, path: str) -> None:
     """Buckets as one csv file with a header; they are few."""
     buckets.coalesce(1).write.mode("overwrite").csv(path, header=True)
@@ -41,6 +46,25 @@ def upserted(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return without(df, fresh, key).unionByName(fresh)
 
 
+def with_elements(df: DataFrame, column: str, keep, count: str | None = None) -> DataFrame:
+    """df with only those elements of an array column that keep accepts, and their number."""
+    out = df.withColumn(column, F.filter(column, keep))
+    return out.withColumn(count, F.coalesce(F.size(column), F.lit(0))) if count else out
+
+
+def overridden(df: DataFrame, key: str, column: str, values: dict[str, str]) -> DataFrame:
+    """df with the column's value replaced for the keys named in a small fixed table."""
+    out = F.col(column)
+    for k, v in values.items():
+        out = F.when(F.col(key) == k, F.lit(v)).otherwise(out)
+    return df.withColumn(column, out)
+
+
+def map_rows(column: str):
+    """A map's entries as rows key, count, to be used in select with explode."""
+    return F.explode(F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("count"))))
+
+
 def positions_of_words(df: DataFrame, column: str, out: str) -> DataFrame:
     """A column of JSON word positions, ``{"word": [0, 7]}``, as a map; null where the JSON is broken."""
     return df.withColumn(out, F.from_json(F.col(column), T.MapType(T.StringType(), T.ArrayType(T.IntegerType())), {"mode": "PERMISSIVE"}))
