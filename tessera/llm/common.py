@@ -34,7 +34,7 @@ def spool(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

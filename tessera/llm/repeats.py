@@ -36,9 +36,9 @@ SEED = 44
 AROUND = LENGTH - SEED
 BLOCK = 1 << 19
 #: Anchors that a task joins at once; segments of a seed from which a task salts it; parts of a salted seed.
-JOINED, MANY, SALTS = 1 << 20, 64, 64
+JOINED, MANY, SALTS = 1 << 19, 64, 64
 #: Segments of a seed beyond which it is split by string; bytes of an indexed chunk.
-HOT, CHUNK = 12_000, 1 << 20
+HOT, CHUNK = 5_000, 1 << 19
 U = np.uint64
 
 
@@ -112,14 +112,14 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def joined(seed: np.ndarray, segment: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """A task's anchors, each (seed, segment) once: kind, seed, salt, segment, doc, from, to.
+def joined(seed: np.ndarray, segment: np.ndarray, doc: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """A task's anchors, each (seed, segment) once: kind, seed, salt, segment, doc, at.
 
-    Kind 0 is a first anchor (from is its position), kind 1 a repeated segment (from, to), kind 2 says that the seed
-    was salted. n: the length of each anchor's document. most: segments of a seed before it is salted.
+    Kind 0 is a first anchor, kind 1 one of a repeated segment, to be passed on as it is, kind 2 says that the seed was
+    salted. most: segments of a seed before it is salted.
     """
     order = np.lexsort((at, doc, segment, seed))
-    seed, segment, doc, at, n = (x[order] for x in (seed, segment, doc, at, n))
+    seed, segment, doc, at = (x[order] for x in (seed, segment, doc, at))
     new_seed = np.concatenate([[True], seed[1:] != seed[:-1]])
     first = new_seed | np.concatenate([[True], segment[1:] != segment[:-1]])
     leader = np.maximum.accumulate(np.where(first, np.arange(len(seed)), 0))
@@ -129,12 +129,14 @@ def joined(seed: np.ndarray, segment: np.ndarray, doc: np.ndarray, at: np.ndarra
     many = np.bincount(number, weights=first) > most
     hot = many[number]
     salt = np.where(hot, 1 + (segment % U(SALTS)).astype(np.int64), 0)
+    told = new_seed & hot
+    zero = np.zeros(len(seed), np.int64)
     parts = [
-        (np.zeros(first.sum(), np.int8), seed[first], salt[first], segment[first], doc[first], at[first], at[first]),
-        (np.ones(again.sum(), np.int8), seed[again], salt[again], segment[again], doc[again], np.maximum(at[again] - AROUND, 0), np.minimum(at[again] + LENGTH, n[again])),
+        (zero[first], seed[first], salt[first], segment[first], doc[first], at[first]),
+        # These need not meet others: they are spread by document.
+        (zero[again] + 1, mixed(doc[again].view(U)), zero[again], zero[again].view(U), doc[again], at[again]),
+        (zero[told] + 2, seed[told], zero[told], segment[told], doc[told], at[told]),
     ]
-    told = np.flatnonzero(new_seed & hot)
-    parts.append((np.full(len(told), 2, np.int8), seed[told], np.zeros(len(told), np.int64), segment[told], doc[told], at[told], at[told]))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -142,11 +144,12 @@ def anchor_rows(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame
     batch_bytes(docs.sparkSession)
 
     def out(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        kind, seed, salt, segment, doc, lo, hi = joined(*[np.concatenate(x) for x in held], most)
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(seed.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(segment.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["kind", "seed", "salt", "segment", "doc", "lo", "hi"])
+        kind, seed, salt, segment, doc, at = joined(*[np.concatenate(x) for x in held], most)
+        columns = [kind.astype(np.int8), seed.view(np.int64), salt.astype(np.int32), segment.view(np.int64), doc, at.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "seed", "salt", "segment", "doc", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], [], []]
+        held: list[list[np.ndarray]] = [[], [], [], []]
         count = 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -154,27 +157,26 @@ def anchor_rows(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame
                 if i is None or buffer is None or buffer.size < LENGTH:
                     continue
                 seed, segment, at = anchors(np.frombuffer(buffer, np.uint8))
-                for x, y in zip(held, (seed, segment, np.full(len(at), i, np.int64), at, np.full(len(at), buffer.size, np.int64)), strict=True):
+                for x, y in zip(held, (seed, segment, np.full(len(at), i, np.int64), at), strict=True):
                     x.append(y)
                 count += len(at)
                 if count >= JOINED:
                     yield out(held)
-                    held, count = [[], [], [], [], []], 0
+                    held, count = [[], [], [], []], 0
         if count:
             yield out(held)
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "kind tinyint, seed bigint, salt int, segment bigint, doc bigint, lo int, hi int")
+    return slim.mapInArrow(run, "kind tinyint, seed bigint, salt int, segment bigint, doc bigint, at int")
 
 
 def compared(rows: DataFrame) -> DataFrame:
     """First anchors of all tasks, compared by seed and segment.
 
-    Gives kind 1 (a repeat, from its position's segment, to be cut at the document's end) and kind 3 (an anchor whose
-    seed has different segments): kind, seed, doc, lo (the position).
+    Gives kind 1 (an anchor of a repeated segment) and kind 3 (an anchor whose seed has different segments): kind, seed,
+    doc, at.
     """
-    dealt = rows.filter("kind != 1").select("seed", "salt", "kind", "segment", "doc", F.col("lo").alias("at"))
-    dealt = dealt.repartition("seed", "salt").sortWithinPartitions("seed", F.desc("kind"), "segment", "doc", "at")
+    dealt = rows.select("seed", "salt", "kind", "segment", "doc", "at").repartition("seed", "salt").sortWithinPartitions("seed", F.desc("kind"), "segment", "doc", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last row so far, whether its seed has several segments, and its first anchor while it has but one.
@@ -206,13 +208,13 @@ def compared(rows: DataFrame) -> DataFrame:
             many = before | (firsts > 1)
             open_ended = group == size - 1
             emit = first & many[group]
-            rows_out = [(np.flatnonzero(repeat), 1), (np.flatnonzero(emit), 3)]
+            rows_out = [(np.flatnonzero(repeat | (kind == 1)), 1), (np.flatnonzero(emit), 3)]
             kinds = np.concatenate([np.full(len(i), k, np.int8) for i, k in rows_out])
             take = np.concatenate([i for i, _ in rows_out])
             columns = [kinds, seed[take], doc[take], at[take]]
             if waiting is not None and not new_seed[0] and many[0]:
                 columns = [np.concatenate([c, np.array([v], c.dtype)]) for c, v in zip(columns, (3, *waiting), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "seed", "doc", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "seed", "doc", "at"])
             if size > 1 or new_seed[0] or many[0]:
                 waiting = None
             several = bool(many[-1])
@@ -222,7 +224,7 @@ def compared(rows: DataFrame) -> DataFrame:
             last_seed, last_segment = seed[-1], segment[-1] if anchor[-1] else None
             lead_doc, lead_at = of_doc[-1], of_at[-1]
 
-    return dealt.mapInArrow(run, "kind tinyint, seed bigint, doc bigint, lo int")
+    return dealt.mapInArrow(run, "kind tinyint, seed bigint, doc bigint, at int")
 
 
 class RunLengthIndex:
@@ -403,21 +405,20 @@ def split_by_string(segments: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, many: int = MANY) -> DataFrame:
     """Per row of docs: its id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left) and the removed spans."""
-    rows = spool(anchor_rows(docs, doc_id, text, many))
-    found = spool(compared(rows))
+    found = spool(compared(anchor_rows(docs, doc_id, text, many)))
     # Per document, at most as many as it has anchors.
-    own = rows.filter("kind = 1").select("doc", "lo", "hi", F.lit(None).cast("bigint").alias("seed"))
-    later = found.select("doc", F.when(F.col("kind") == 1, F.greatest(F.col("lo") - AROUND, F.lit(0))).otherwise(F.col("lo")).alias("lo"), F.when(F.col("kind") == 1, F.col("lo") + LENGTH).alias("hi"), F.when(F.col("kind") == 3, F.col("seed")).alias("seed"))
-    lists = own.union(later).groupBy("doc").agg(F.collect_list(F.when(F.col("hi").isNotNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list(F.when(F.col("hi").isNull(), F.struct("seed", "lo"))).alias("places"))
+    repeat, begin = F.col("kind") == 1, F.greatest(F.col("at") - AROUND, F.lit(0))
+    spans = F.collect_list(F.when(repeat, F.struct(begin.alias("lo"), (F.col("at") + LENGTH).alias("hi")))).alias("spans")
+    lists = found.groupBy("doc").agg(spans, F.collect_list(F.when(~repeat, F.struct("seed", "at"))).alias("places"))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("bytes"))
     both = texts.join(lists, F.col("id") == F.col("doc"), "left")
     free = F.col("doc").isNull()
     both = spool(both.select("id", F.length("bytes").cast("long").alias("n_bytes"), F.when(free, F.sha2("bytes", 256)).alias("sha"), F.when(~free, F.col("bytes")).alias("bytes"), "spans", "places"))
     involved = both.filter("bytes is not null")
 
-    place = involved.filter("size(places) > 0").dropDuplicates(["id"]).select(F.col("id").alias("doc"), "bytes", F.explode("places").alias("p"))
-    begin = F.greatest(F.col("p.lo") - AROUND, F.lit(0))
-    segments = place.select(F.col("p.seed").alias("seed"), "doc", begin.alias("begin"), F.substring("bytes", begin + 1, F.col("p.lo") + LENGTH - begin).alias("bytes"))
+    place = involved.filter("size(places) > 0").select(F.col("id").alias("doc"), "bytes", F.explode("places").alias("p"))
+    begin = F.greatest(F.col("p.at") - AROUND, F.lit(0))
+    segments = place.select(F.col("p.seed").alias("seed"), "doc", begin.alias("begin"), F.substring("bytes", begin + 1, F.col("p.at") + LENGTH - begin).alias("bytes"))
     crowded = small(spool(found.filter("kind = 3").groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("seed")))
     marks = indexed(segments.join(crowded, "seed", "left_anti")).union(split_by_string(segments.join(crowded, "seed", "left_semi")))
     marks = marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
