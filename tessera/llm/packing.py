@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -31,7 +32,7 @@ from tessera.llm.common import batch_bytes, spool
 LENGTH = 2048
 END = 1
 DIMENSIONS, BITS = 3, 10
-CACHE = 500_000
+CACHE = 900_000
 PIECE = "id {id}, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -52,15 +53,16 @@ class Words:
         """Per text its ids, two bytes each."""
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         seen = self.seen
-        fresh = list({c for row in chunks for c in row if c not in seen})
+        met = set().union(*chunks)
+        fresh = list(met.difference(seen))
         if len(seen) + len(fresh) > CACHE:
             seen.clear()
-            fresh = list({c for row in chunks for c in row})
+            fresh = list(met)
         for i in range(0, len(fresh), 10_000):
             part = fresh[i : i + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                seen[c] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join([seen[c] for c in row]) for row in chunks]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                seen[c] = struct.pack(f"<{len(e)}H", *e.ids)
+        return [b"".join(map(seen.__getitem__, row)) for row in chunks]
 
 
 @cache
