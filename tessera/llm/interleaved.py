@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_bytes
+from tessera.llm.common import batch_bytes, spool
 from tessera.llm.html_blocks import read
 
 WIDTH = 64
@@ -81,9 +81,10 @@ def media_store(docs: DataFrame, text: str = "text", keep_media: bool = False) -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, KINDS, strict=True)], NAMES)
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(run, STORED)
-    if not keep_media:
-        rows = rows.drop("media")
-    return rows.dropDuplicates(["digest"])
+    if keep_media:
+        return rows.dropDuplicates(["digest"])
+    # A table of its own, so that a later join on digests may be split where one is frequent.
+    return spool(rows.drop("media").dropDuplicates(["digest"]))
 
 
 NAMES = [c.split()[0] for c in STORED.split(", ")]
