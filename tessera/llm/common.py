@@ -63,7 +63,7 @@ def uniform(*parts: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
 
 
-def running_sum(df: DataFrame, groups: list[str], position: str, value: str, out: str, ties: str, per_slice: int = 100_000) -> DataFrame:
+def running_sum(df: DataFrame, groups: list[str], position: str, value: str, out: str, ties: str, per_slice: int = 5_000) -> DataFrame:
     """Sum of value over the rows of the same group up to this one, by (position, ties).
 
     position is a double in [0, 1), spread about evenly. A group is cut into slices of it, each summed by itself;
