@@ -10,8 +10,12 @@ candidates; at a similarity of 0.8 a pair escapes all bands with probability 7e-
 Equal texts are joined first, by digest, and only one of them goes on, so copies make no pairs. Within a band's bucket
 no pairs are enumerated: all members are compared with one leader, the member that shares most with others; then the
 buckets whose members are not yet one class are compared with another leader, ``LEADERS`` times or until a leader finds
-nothing new. So a round makes at most as many pairs as there are members. Each pair's similarity is computed exactly
-from the texts, and pairs of at least 0.8 link; classes are the connected components.
+nothing new. So a round makes at most as many pairs as there are members. The rounds only shorten what follows: each
+bucket that still holds several classes is dealt in blocks, and every two blocks meet in one place, where all pairs of
+different classes are compared. There a bound on the similarity, computed for one text against a block at once, leaves
+the pairs to verify. So the links are those of all candidates; the work of a bucket that stays open grows with the
+square of its members. Each pair's similarity is computed exactly from the texts, and pairs of at least 0.8 link;
+classes are the connected components.
 
 A text of one to four words is one shingle. Texts without words, and null, have no shingles: each stays alone. Rows
 with the same id count as rows. An empty table gives no rows. Texts are read whole; a row's memory is that of its text.
@@ -34,6 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 30
 LEADERS = 4
+#: A block of an open bucket: members, and bytes of their hashes and weights.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 #: Ids, eight bytes each, may be broadcast up to this count.
 BROADCAST_IDS = 1_000_000
 SPLIT = re.compile(WORD)
@@ -188,6 +194,87 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def linking(label: list, side: list[int], sets: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Pairs of different labels that are similar enough, without those that the pairs before have joined.
+
+    side is 0 or 1; where both occur, only pairs of two sides are compared.
+    """
+    _, label = np.unique(np.array(label, object), return_inverse=True)
+    usual = np.bincount(label).argmax()
+    order = np.lexsort((label == usual, side))
+    label, sets = label[order], [sets[k] for k in order]
+    n, cut = len(sets), side.count(0)
+    starts = np.concatenate([[0], np.cumsum([len(h) for h, _ in sets])])
+    words, at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    weights = np.concatenate([w for _, w in sets])
+    mass = np.add.reduceat(weights, starts[:-1])
+    mark = np.zeros(len(words))
+    for x in range(cut if 0 < cut < n else n - 1):
+        low = cut if 0 < cut < n else x + 1
+        if (label[low:] == label[x]).all():
+            continue
+        own = at[starts[x] : starts[x + 1]]
+        mark[own] = weights[starts[x] : starts[x + 1]]
+        met = mark[at[starts[low] :]]
+        mark[own] = 0
+        ends = starts[low:-1] - starts[low]
+        with np.errstate(divide="ignore"):
+            # With the shares u and v of two texts' weights on common shingles, the similarity is at most 1 / (1/u + 1/v - 1).
+            inverse = mass[x] / np.add.reduceat(met, ends) + mass[low:] / np.add.reduceat(weights[starts[low] :] * (met > 0), ends)
+        for y in low + np.flatnonzero((label[low:] != label[x]) & (inverse <= 1 + 1 / SIMILARITY + 1e-6)):
+            if label[x] != label[y] and probability_jaccard(sets[x], sets[y]) >= SIMILARITY - 1e-9:
+                label[label == label[y]] = label[x]
+                yield int(order[x]), int(order[y])
+
+
+def finished(now: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that make one class of all that belongs together in the buckets of more than one label.
+
+    now has id, bucket and label. Buckets of two members were compared by the leaders.
+    """
+    kind = now.schema["id"].dataType.simpleString()
+    open_ = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2")
+    rows = spool(now.join(open_.select("bucket"), "bucket").join(sets.select("id", (F.length("hashes") + F.length("weights")).alias("bytes")), "id"))
+    shape = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = rows.join(shape, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side")
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side, "id", "label")
+    key = ["bucket", "i", "j"]
+    rows = rows.join(sets, "id").select(*key, "side", "id", "label", "hashes", "weights").repartition(*key).sortWithinPartitions(*key)
+
+    def links(held: list[tuple]) -> Iterator[tuple]:
+        if len(held) > 1:
+            texts = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32).astype(float)) for _, _, _, h, w in held]
+            for x, y in linking([r[2] for r in held], [r[0] for r in held], texts):
+                yield held[x][1], held[y][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        for b in batches:
+            out = []
+            for *at, side, i, label, h, w in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if at != place:
+                    out += links(held)
+                    place, held = at, []
+                held.append((side, i, label, h, w))
+            yield made(out, b.column(4).type)
+        if held:
+            yield made(list(links(held)), b.column(4).type)
+
+    def made(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the label of each id's class: its own id where it has none."""
+    if labels is None:
+        return members.withColumn("label", F.col("id"))
+    return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: its id and class_id, the least id of its class."""
     rows = spool(banded(docs, doc_id, text))
@@ -200,9 +287,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sets = spool(weighted_sets(docs, spool(members.select("id", "digest").distinct()), doc_id, text))
     edges = tried = labels = None
     for round_ in range(LEADERS):
-        now = members.withColumn("label", F.col("id"))
-        if labels is not None:
-            now = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        now = labelled(members, labels)
         rank = F.col("weight") if not round_ else F.xxhash64(F.lit(round_), F.col("label"), F.col("id"))
         best = F.max_by(F.struct("id", "label"), F.struct(rank.alias("rank"), "id")).alias("best")
         leaders = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), best)
@@ -220,6 +305,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             break
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
+    found = spool(finished(labelled(members, labels).select("id", "bucket", "label"), sets))
+    if not found.isEmpty():
+        labels = components(found if edges is None else edges.union(found))
     of_text = texts.select("digest", "id")
     if labels is not None:
         of_text = of_text.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("id"))

@@ -338,6 +338,32 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates.classes(empty(spark)).count() == 0
 
 
+def below_the_limit(r):
+    """Texts on one template, pairs of them similar just below 0.8, and now and then two just above it."""
+    template, rows = [f"t{k}" for k in range(304)], []
+    for k in range(160):
+        tail = [f"u{k}x{i}" for i in range(42)]
+        rows.append((len(rows), " ".join(template + tail)))
+        if k % 8 == 0:
+            rows.append((len(rows), " ".join(template + tail[:6] + [f"v{k}x{i}" for i in range(36)])))
+    return r.sample(rows, len(rows))
+
+
+def test_near_duplicates_in_a_group_just_below_the_limit(spark):
+    rows = below_the_limit(random.Random(14))
+    want = classes_by_hand(rows)
+    assert len(set(want.values())) == 160
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.class_id for x in near_duplicates.classes(df).collect()} == want
+
+
+def test_near_duplicates_of_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 16)
+    rows = below_the_limit(random.Random(15))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.class_id for x in near_duplicates.classes(df).collect()} == classes_by_hand(rows)
+
+
 def test_probability_jaccard_by_hand():
     r = random.Random(12)
     for _ in range(50):
