@@ -17,8 +17,10 @@ the pairs to verify. So the links are those of all candidates; the work of a buc
 square of its members. Each pair's similarity is computed exactly from the texts, and pairs of at least 0.8 link;
 classes are the connected components.
 
-A text of one to four words is one shingle. Texts without words, and null, have no shingles: each stays alone. Rows
-with the same id count as rows. An empty table gives no rows. Texts are read whole; a row's memory is that of its text.
+A text of one to four words is one shingle. Texts without words, and null, have no shingles: each stays alone. Texts
+go by their digest, so ids may be null or repeated; rows with the same id count as rows. A null id is the class_id of
+classes only in which all ids are null. An empty table gives no rows. Texts are read whole; a row's memory is that of
+its text.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, batch_bytes, small, spool
+from tessera.llm.common import WORD, batch_bytes, free_name, small, spool
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -167,17 +169,20 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def weighted_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, hashes and weights of the documents named in ids (distinct), once for each id."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def digest_of(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text)))
+
+
+def weighted_sets(docs: DataFrame, digests: DataFrame, text: str) -> DataFrame:
+    """id (the digest), hashes and weights of the texts named in digests (id, distinct), once for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in sets], pa.binary())], ["id", "hashes", "weights"])
 
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("digest")).join(small(ids, BROADCAST_IDS), ["id", "digest"], "left_semi")
-    return rows.select("id", "text").mapInArrow(run, f"id {kind}, hashes binary, weights binary").dropDuplicates(["id"])
+    rows = docs.select(digest_of(text).alias("id"), F.col(text).alias("text")).join(small(digests, BROADCAST_IDS), "id", "left_semi")
+    return rows.mapInArrow(run, "id binary, hashes binary, weights binary").dropDuplicates(["id"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,16 +280,16 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: its id and class_id, the least id of its class."""
+def text_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs with words its id and digest; and per digest the label of its class."""
     rows = spool(banded(docs, doc_id, text))
-    texts = spool(rows.groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("m")).select("digest", "m.id", "m.bands"))
-    members = texts.select(F.col("id"), "digest", F.explode("bands").alias("bucket"))
+    texts = spool(rows.groupBy(F.col("digest").alias("id")).agg(F.min("bands").alias("bands")))
+    members = texts.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = spool(members.join(shared, "bucket"))
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     members = spool(members.drop("n").join(weight, "id"))
-    sets = spool(weighted_sets(docs, spool(members.select("id", "digest").distinct()), doc_id, text))
+    sets = spool(weighted_sets(docs, spool(members.select("id").distinct()), text))
     edges = tried = labels = None
     for round_ in range(LEADERS):
         now = labelled(members, labels)
@@ -308,18 +313,32 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     found = spool(finished(labelled(members, labels).select("id", "bucket", "label"), sets))
     if not found.isEmpty():
         labels = components(found if edges is None else edges.union(found))
-    of_text = texts.select("digest", "id")
-    if labels is not None:
-        of_text = of_text.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("id"))
-    known = rows.select("id", "digest").join(of_text.withColumnRenamed("id", "class_id"), "digest").select(F.col("id").alias(doc_id), "class_id")
-    wordless = docs.filter(~F.coalesce(F.col(text).rlike(WORD), F.lit(False))).select(doc_id, F.col(doc_id).alias("class_id"))
-    return known.unionByName(wordless)
+    return rows.select("id", "digest"), labelled(texts.select("id"), labels).withColumnRenamed("id", "digest")
+
+
+def wordless(docs: DataFrame, text: str) -> DataFrame:
+    return docs.filter(~F.coalesce(F.col(text).rlike(WORD), F.lit(False)))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: its id and class_id, the least id of its class."""
+    rows, labels = text_classes(docs, doc_id, text)
+    least = rows.groupBy("digest").agg(F.min("id").alias("id")).join(labels, "digest")
+    least = least.join(least.groupBy("label").agg(F.min("id").alias("class_id")), "label").select("digest", "class_id")
+    known = rows.join(least, "digest").select(F.col("id").alias(doc_id), "class_id")
+    return known.unionByName(wordless(docs, text).select(doc_id, F.col(doc_id).alias("class_id")))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, one row of each class: that of the least id (of equal ids, one row of the least text)."""
-    leaders = classes(docs, doc_id, text).filter(F.col(doc_id) == F.col("class_id")).select(doc_id).distinct()
-    kept = docs.join(leaders, doc_id, "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(text)
-    name = next(x for x in ("at", "_at", "__at") if x not in docs.columns)
-    return kept.withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name)
+    """docs, one row of each class: that of the least id, nulls last (of equal ids, one row of the least digest).
+
+    Of rows without words those of equal ids and texts are one; where the id is null each stays.
+    """
+    rows, labels = text_classes(docs, doc_id, text)
+    order = F.struct(F.col("id").isNull().alias("none"), "id")
+    first = rows.groupBy("digest").agg(F.min(order).alias("o")).join(labels, "digest").groupBy("label").agg(F.min(F.struct("o", "digest")).alias("first"))
+    first = spool(first.select(F.col("first.o.id").alias("__id"), F.col("first.digest").alias("__digest")))
+    own = free_name(docs, "digest")
+    kept = docs.withColumn(own, digest_of(text)).join(first, (F.col(own) == F.col("__digest")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    alone = wordless(docs, text)
+    return kept.dropDuplicates([own]).drop(own).unionByName(alone.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text])).unionByName(alone.filter(F.col(doc_id).isNull()))

@@ -364,6 +364,18 @@ def test_near_duplicates_of_buckets_in_blocks(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in near_duplicates.classes(df).collect()} == classes_by_hand(rows)
 
 
+def test_near_duplicates_with_null_ids(spark):
+    r = random.Random(16)
+    one, two, three = (prose(r, 200) for _ in range(3))
+    near = one.replace(one.split()[100], "changed", 1)
+    rows = [(None, one), (5, one), (3, near), (None, two), (None, two), (7, three), (7, two + " " + three), (None, None), (None, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x.doc_id, x.class_id) for x in near_duplicates.classes(df).collect()), key=str)
+    assert got == sorted([(None, 3), (5, 3), (3, 3), (None, None), (None, None), (7, 7), (7, 7), (None, None), (None, None), (8, 8)], key=str)
+    kept = [(x.doc_id, x.text) for x in near_duplicates.deduplicated(df).collect()]
+    assert sorted(kept, key=str) == sorted([(3, near), (None, two), (7, three), (7, two + " " + three), (None, None), (None, ""), (8, None)], key=str)
+
+
 def test_probability_jaccard_by_hand():
     r = random.Random(12)
     for _ in range(50):
