@@ -520,6 +520,12 @@ def fold_marks(spark, folder):
     return scan(spark, folder, "documents").select("doc_id", words.folded(F.substring("text", 1, 200)).alias("text"))
 
 
+@query("select doc_id, strip_accents(text) as text from documents")
+def fold_marks_whole(spark, folder):
+    """As fold_marks, over whole texts."""
+    return scan(spark, folder, "documents").select("doc_id", words.folded(F.col("text")).alias("text"))
+
+
 # Vectors.
 
 Q0 = "q as (select embedding as v from embeddings where vec_id = 0)"
