@@ -626,6 +626,14 @@ def decode_positions(spark, folder):
     return df.select("doc_id", tables.text_of_positions("positions").alias("text"))
 
 
+@query(f"with {TOKENS} select doc_id, array_to_string(t, ' ') as text from toks where len(t) > 0")
+def decode_positions_whole(spark, folder):
+    """As decode_positions, over all words."""
+    df = scan(spark, folder, "documents").select("doc_id", tables.index_of_words(words.tokens(F.col("text"))).alias("index"))
+    df = tables.positions_of_words(df, "index", "positions").filter(F.size("positions") > 0)
+    return df.select("doc_id", tables.text_of_positions("positions").alias("text"))
+
+
 @query("select o_orderkey, cast(count(l_orderkey) filter (l_returnflag <> 'R') as integer) as n_lines from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 def scrub_elements(spark, folder):
     return tables.with_elements(nested_orders(spark, folder), "lines", lambda x: x["l_returnflag"] != "R", "n_lines").select("o_orderkey", "n_lines")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,18 @@ def map_rows(column: str):
     return F.explode(F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("count"))))
 
 
+def index_of_words(tokens: Column) -> Column:
+    """JSON word positions of an array of tokens (letters and digits only), by one sort; null for null."""
+    pairs = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+
+    def written(s: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x["word"]))
+        head = lambda x, w: F.when(x["word"] == w, F.lit(",")).otherwise(F.concat(F.when(w.isNull(), F.lit("{")).otherwise(F.lit("],")), F.lit('"'), x["word"], F.lit('":[')))
+        return F.concat(F.array_join(F.zip_with(s, before, lambda x, w: F.concat(head(x, w), x["at"].cast("string"))), ""), F.lit("]}"))
+
+    return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(pairs), written), F.lit(0))).when(tokens.isNotNull(), F.lit("{}"))
+
+
 def positions_of_words(df: DataFrame, column: str, out: str) -> DataFrame:
     """A column of JSON word positions, ``{"word": [0, 7]}``, as a map; null where the JSON is broken."""
     return df.withColumn(out, F.from_json(F.col(column), T.MapType(T.StringType(), T.ArrayType(T.IntegerType())), {"mode": "PERMISSIVE"}))
