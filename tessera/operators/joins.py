@@ -73,13 +73,22 @@ def union_all(tables: dict[str, DataFrame], entity: str = "entity") -> DataFrame
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn(entity, F.lit(n)) for n, t in tables.items()])
 
 
-def descendants(edges: DataFrame, parent: str, child: str, most_levels: int = 20) -> DataFrame:
-    """Number of all descendants of each node of a tree: ancestor, n. A level of the tree is a join."""
-    step = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node"))
-    reached, level = step, step
-    for _ in range(most_levels):
-        level = level.join(edges, F.col("node") == F.col(parent)).select("ancestor", F.col(child).alias("node"))
+def descendants(edges: DataFrame, parent: str, child: str, most_levels: int | None = None) -> DataFrame:
+    """Number of all descendants of each node: ancestor, n. A level is a join; levels go on until one has nothing new.
+
+    In a cycle a node is its own descendant. most_levels, if given, is an error where there are more levels.
+    """
+    step = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct().localCheckpoint()
+    down = step.select(F.col("ancestor").alias("__up"), F.col("node").alias("below"))
+    reached, level, n = step, step, 0
+    while True:
+        # A step of its own each level: lineage stays short, and pairs met before end cycles.
+        level = level.join(down, F.col("node") == F.col("__up")).select("ancestor", F.col("below").alias("node")).distinct()
+        met = reached.select(F.col("ancestor").alias("__ancestor"), F.col("node").alias("__node"))
+        level = level.join(met, F.col("ancestor").eqNullSafe(F.col("__ancestor")) & F.col("node").eqNullSafe(F.col("__node")), "left_anti").localCheckpoint()
         if level.isEmpty():
-            break
+            return reached.groupBy("ancestor").agg(F.countDistinct("node").alias("n"))
+        n += 1
+        if most_levels is not None and n > most_levels:
+            raise QueryError(f"the tree has more than {most_levels} levels below its nodes' children")
         reached = reached.union(level)
-    return reached.groupBy("ancestor").agg(F.countDistinct("node").alias("n"))

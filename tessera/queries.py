@@ -418,6 +418,13 @@ def tree_descendants(spark, folder):
     return joins.descendants(edges, "p", "c").select((F.col("ancestor") + 1000).alias("ancestor"), "n")
 
 
+@query("select n_nationkey as ancestor, (select count(*) from nation m where m.n_nationkey > n.n_nationkey) as n from nation n where n_nationkey < 24")
+def tree_descendants_deep(spark, folder):
+    """A chain of the 25 nations."""
+    edges = scan(spark, folder, "nation").filter("n_nationkey > 0").select((F.col("n_nationkey") - 1).alias("p"), F.col("n_nationkey").alias("c"))
+    return joins.descendants(edges, "p", "c")
+
+
 @query("select c_custkey, c_acctbal from customer where c_custkey % 3 <> 0 union all select c_custkey, c_acctbal + 1 from customer where c_custkey % 3 = 0")
 def upsert_rows(spark, folder):
     df = scan(spark, folder, "customer").select("c_custkey", "c_acctbal")
