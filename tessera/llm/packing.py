@@ -6,25 +6,26 @@ distribution function spreads documents evenly over the cells of a grid; a cell'
 then a hash of the id, is the sort key. Documents are range-sorted by it and laid end to end, and the row of all tokens
 is cut every ``LENGTH``: neighbours on the curve share sequences, and only the very last sequence needs padding.
 
-The hash in the key spreads copies, which share a cell, over the ranges. Of each range only its token sum reaches the
-driver. Tokenized documents are written once, and again in their order, two bytes a token, so that neither the range
-boundaries nor a lost executor tokenizes them anew. A null or empty text has the end token only. Rows with the same id
-are packed each; their order among themselves is open. An empty table gives no rows.
+The hash in the key spreads copies, which share a cell, over the ranges. Tokenized documents are written once, two
+bytes a token, so that neither the range boundaries nor a lost executor tokenizes them anew. The boundaries are
+approximate quantiles of the key; of each range only a boundary and its token sum reach the driver. Then one shuffle
+brings the documents into their order, and the tasks that read it cut them. A null or empty text has the end token
+only. Rows with the same id are packed each; their order among themselves is open. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_bytes, spool
@@ -32,12 +33,45 @@ from tessera.llm.common import batch_bytes, spool
 LENGTH = 2048
 END = 1
 DIMENSIONS, BITS = 3, 10
-CACHE = 900_000
+#: Bytes of chunks and ids that a worker keeps, with so many for each entry itself; longer chunks are not kept.
+CACHE_BYTES, ENTRY, LONGEST = 192 << 20, 250, 64
+#: Ranges for each shuffle partition, so that partitions even out.
+RANGES = 4
+# How the word vocabulary splits text, and the same for lower-case text of the letters below.
+SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\v\f\r a-z0-9ß-öø-ÿ]+")
+#: Text that is composed already, whose letters have one lower-case form each.
+PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: Byte-level vocabularies write a byte as its Latin-1 character where that is visible, others as characters from 256 on.
+VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SIGNS = {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in VISIBLE)}
 PIECE = "id {id}, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+class Pieces(dict):
+    """Ids of pieces that the rule leaves whole: by the library's merges alone, over the signs that stand for bytes."""
+
+    def __init__(self, model):
+        self.merged, self.room = model.tokenize, CACHE_BYTES // 4
+
+    def __missing__(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(SIGNS)
+        ids = struct.pack(f"<{len(found := self.merged(signs))}H", *[t.id for t in found])
+        if len(piece) <= LONGEST:
+            self.room -= len(piece) + len(ids) + ENTRY
+            if self.room < 0:
+                self.clear()
+                self.room = CACHE_BYTES // 4
+            self[piece] = ids
+        return ids
+
+
 class Words:
-    """Ids of texts by a tokenizers file. No token crosses white space, so a worker keeps the ids of what it has met."""
+    """Ids of texts by a tokenizers file. No token crosses white space, so a worker keeps the ids of what it has met.
+
+    Chunks between blanks that were not met before are split here by the file's rule, and only new pieces go to the
+    library; so do whole chunks with other than plain letters or with a special string, and all if the rule is another.
+    """
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,22 +81,50 @@ class Words:
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("two bytes do not hold the ids of this vocabulary")
+        with open(file, encoding="utf-8") as f:
+            self.splits = SPLIT_RULE in re.findall(r'"Regex":\s*"((?:[^"\\]|\\.)*)"', f.read().replace("\\\\", "\\"))
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.seen: dict[str, bytes] = {}
+        self.pieces = Pieces(self.tokenizer.model)
+        self.held = 0
+
+    def library(self, parts: Iterable[str], into: dict[str, bytes]) -> None:
+        """Ids of any texts."""
+        parts = list(parts)
+        for i in range(0, len(parts), 10_000):
+            part = parts[i : i + 10_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[c] = struct.pack(f"<{len(e)}H", *e.ids)
+
+    def encoded(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of each chunk."""
+        out: dict[str, bytes] = {}
+        other = []
+        piece, split, plain, special = self.pieces.__getitem__, PIECES.findall, PLAIN.fullmatch if self.splits else lambda c: None, self.special.search
+        for c in chunks:
+            if plain(c) and not ("<|" in c and special(c)):
+                out[c] = b"".join(map(piece, split(c.lower())))
+            else:
+                other.append(c)
+        self.library(other, out)
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids, two bytes each."""
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = self.seen
         met = set().union(*chunks)
-        fresh = list(met.difference(seen))
-        if len(seen) + len(fresh) > CACHE:
-            seen.clear()
-            fresh = list(met)
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                seen[c] = struct.pack(f"<{len(e)}H", *e.ids)
-        return [b"".join(map(seen.__getitem__, row)) for row in chunks]
+        new = self.encoded(met.difference(self.seen))
+        size = sum(map(len, new)) + sum(map(len, new.values())) + ENTRY * len(new)
+        if self.held + size > CACHE_BYTES:
+            new |= {c: self.seen[c] for c in met.difference(new)}
+            self.seen, self.held = {}, 0
+            size = sum(map(len, new)) + sum(map(len, new.values())) + ENTRY * len(new)
+        self.seen.update(new)
+        out = [b"".join(map(self.seen.__getitem__, row)) for row in chunks]
+        for c in [c for c in new if len(c) > LONGEST]:
+            size -= len(c) + len(self.seen.pop(c)) + ENTRY
+        self.held += size
+        return out
 
 
 @cache
@@ -131,42 +193,46 @@ def tokenized(docs: DataFrame, file: str, doc_id: str, text: str) -> DataFrame:
     return slim.mapInArrow(run, f"id {kind}, key bigint, ids binary")
 
 
+def bounds_below(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above key, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    table = F.lit(bounds)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when((low + step <= len(bounds)) & (F.get(table, low + step - 1) <= key), low + step).otherwise(low))
+
+
 def pieces(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """A row per piece: id, start in its document, length, ids (two bytes each), ids_crc32 (of four bytes each), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     rows = spool(tokenized(docs, file, doc_id, text))
     kind = rows.schema["id"].dataType.simpleString()
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = np.array([len(x) // 2 for x in b.column(2).to_pylist()], np.int64)
-            at = before + np.cumsum(n) - n
-            before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.full(len(n), part, np.int32)), pa.array(at), pa.array(n)], ["id", "ids", "part", "at", "n"])
-
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(ranges, "key", "id").sortWithinPartitions("key", "id")
-    laid = spool(sorted_rows.mapInArrow(placed, f"id {kind}, ids binary, part int, at bigint, n bigint"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = RANGES * tasks
+    bounds = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    dealt = rows.withColumn("part", bounds_below(F.col("key"), sorted(set(bounds)))).withColumn("n", F.call_function("div", F.length("ids"), F.lit(2)))
     base, before = {}, 0
-    for r in laid.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each range
+    for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each range
         base[r.part], before = before, before + r.n
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, begin = None, 0
         for b in batches:
             out: list[tuple] = []
-            for i, ids, part, at, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                begin = base[part] + at
-                start = 0
+            for i, ids, p in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if p != part:
+                    part, begin = p, base[p]
+                start, n = 0, len(ids) // 2
                 while start < n:
                     sequence, offset = divmod(begin + start, length)
                     k = min(n - start, length - offset)
                     own = ids[2 * start : 2 * (start + k)]
                     out.append((i, start, k, own, zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes()), n, sequence, offset))
                     start += k
+                begin += n
             columns = zip(*out, strict=True) if out else [[]] * 8
             kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return laid.mapInArrow(cut, PIECE.format(id=kind)).withColumnRenamed("id", doc_id)
-
+    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "key", "id")
+    return ordered.select("id", "ids", "part").mapInArrow(cut, PIECE.format(id=kind)).withColumnRenamed("id", doc_id)
