@@ -1,13 +1,16 @@
-"""What several operators share: spooled tables, bounded broadcasts, running sums."""
+"""What several operators share: spooled tables and their removal, bounded broadcasts."""
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, in the form that all contracts use.
@@ -21,8 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
+    """The folder that driver and executors share: spark.checkpoint.dir; a new one where it is unset and all run on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return folder or own_folder()
 
 
 @cache
@@ -30,14 +36,57 @@ def own_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='tessera-')}"
 
 
+#: Folders written within the innermost ``scratch`` block, per thread.
+HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
 def spool(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
+    if (held := HELD.get()) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Spooled tables of a block of steps."""
+
+    def __init__(self) -> None:
+        self.results: list[DataFrame] = []
+
+    def keep(self, *results: DataFrame) -> DataFrame:
+        """Tables that these read outlast the block."""
+        self.results += results
+        return results[0]
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Tables spooled within are removed at the end, but for those that the kept results read."""
+    block, outer = Scratch(), HELD.get()
+    token = HELD.set([])
+    try:
+        yield block
+        written = HELD.get()
+    finally:
+        HELD.reset(token)
+    read = {f.rstrip("/").split("/tessera-")[-1].split("/")[0] for r in block.results for f in r.inputFiles() if "/tessera-" in f}
+    for path in written:
+        if path.split("/tessera-")[-1] in read:
+            if outer is not None:
+                outer.append(path)
+        elif block.results:
+            remove(block.results[0].sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a spooled table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (a spooled table), marked for broadcast if it was counted to be small; else any join strategy."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -63,28 +112,5 @@ def uniform(*parts: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
 
 
-def running_sum(df: DataFrame, groups: list[str], position: str, value: str, out: str, ties: str, per_slice: int = 5_000) -> DataFrame:
-    """Sum of value over the rows of the same group up to this one, by (position, ties).
-
-    position is a double in [0, 1), spread about evenly. A group is cut into slices of it, each summed by itself;
-    the sums of the slices before come from a table of one row per group and slice. So a group that holds most of
-    the rows is spread over many tasks. df has to be a spooled table, as it is read twice.
-    """
-    n = max(1, min(65_536, -(-df.count() // per_slice) * 4))
-    part, base, below = (free_name(df, x) for x in ("slice", "base", "below"))
-    cut = df.withColumn(part, F.floor(F.col(position) * n).cast("int"))
-    sums = cut.groupBy(*groups, part).agg(F.sum(value).alias(below))
-    sums = sums.withColumn(base, F.sum(below).over(Window.partitionBy(*groups).orderBy(part)) - F.col(below)).drop(below)
-    keys = [*groups, part]
-    renamed = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], base)
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        on = same if on is None else on & same
-    joined = cut.join(renamed, on, "left").drop(*[f"__{k}" for k in keys])
-    window = Window.partitionBy(*keys).orderBy(position, ties).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.coalesce(F.col(base), F.lit(0)) + F.sum(value).over(window)).drop(part, base)
-
-
 def sha256(text: bytes) -> str:
     return hashlib.sha256(text).hexdigest()
