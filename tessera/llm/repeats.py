@@ -2,21 +2,26 @@
 
 *Anchors.* In each string of ``LENGTH`` bytes the ``SEED``-byte substring with the least hash, and all that tie, are
 anchors, so equal strings have an equal anchor at the same place. An anchor's segment is all that its strings cover.
-Of anchors with equal seed and equal segment only the first (least doc_id, then position) goes on; the others' segments
-are repeats as they stand. A task first joins its own equal anchors, so copies are few before the shuffle, and it salts
-seeds that it meets with many different segments.
+Hashes only deal anchors out: a seed that occurs once has no repeats, all others go on with the bytes of their segments.
 
-*Index.* Seeds that occur with different segments need a look inside. Their segments are dealt by seed and indexed in
-chunks of bounded size: a suffix array yields the Burrows-Wheeler transform, of which only the runs are kept, with the
-text position, its predecessor in suffix order and their common prefix sampled at each run's end. From these the
+*Index.* Segments are dealt by seed and indexed in chunks of bounded size: a suffix array yields the Burrows-Wheeler
+transform, of which only the runs are kept, with the text position, its predecessor in suffix order and their common
+prefix sampled at each run's end. Segments of the same bytes, whose rows would lie in the same runs, are one text of the
+index with all their places; all places but the first (least id, then position) are repeats. From the samples the
 matching statistics of every position are streamed in text order: between two samples the predecessor moves along and
 the common prefix falls by one. Positions whose match is at least LENGTH long, linked to their predecessors, are the
-occurrences of one string; all but the first are marked. A seed with more than ``HOT`` segments, such as that of a line
-that very many documents share, is split by string instead: hashes of its strings meet in groups of their own.
+occurrences of one string; all but the first are marked. So whatever is marked was compared by its bytes.
+
+*Crowded seeds.* Of a seed with more than ``MOST`` anchors, such as that of a line that very many documents share, equal
+segments are joined first, dealt by their bytes. Where more than MOST different ones are left, the anchor grows: each
+string reaches over the seed by half of what it has to spare on the left or on the right, so it is dealt anew by the seed
+with that half, and again, until no anchor is crowded; an anchor as long as a string has equal segments only. All then
+go through the same index.
 
 Texts are UTF-8 bytes; null is empty. Matches do not cross documents. Rows with equal id and text are one document, each
-reported; of rows with equal id and other texts, each is marked where any of them is. Documents are read in blocks, so
-a long one needs memory for itself and a block's hashes. An empty table gives no rows.
+reported; rows with equal id and other texts are documents of their own, told apart and ordered by a 64-bit digest of
+the text, and so are those with a null id, which comes after all others. Documents are read in blocks, so a long one
+needs memory for itself and a block's hashes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,19 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_bytes, small, spool
+from tessera.llm.common import batch_bytes, scratch, small, spool
 
 LENGTH = 100
 SEED = 44
 AROUND = LENGTH - SEED
 BLOCK = 1 << 19
-#: Anchors that a task joins at once; segments of a seed from which a task salts it; parts of a salted seed.
-JOINED, MANY, SALTS = 1 << 19, 64, 64
-#: Segments of a seed beyond which it is split by string; bytes of an indexed chunk.
-HOT, CHUNK = 5_000, 1 << 19
+#: Anchors that a task joins at once; bytes of segments that it does.
+JOINED, HELD = 1 << 19, 1 << 25
+#: Anchors of a crowded seed; bytes of an indexed chunk.
+MOST, CHUNK = 5_000, 1 << 19
+#: Stands for a null id, after all others.
+LAST = (1 << 63) - 1
 U = np.uint64
 
 
@@ -87,10 +95,10 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hash, segment hash and position of each anchor."""
+def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seed hash and position of each anchor."""
     p, n = polynomial(), len(text)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     width = AROUND + 1
     for begin in range(0, max(0, n - SEED + 1) if n >= LENGTH else 0, BLOCK):
         # The block's anchors depend on LENGTH bytes to either side.
@@ -103,61 +111,47 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edge = np.zeros(width - 1, U)
         at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h)
         at = at[(at + lo >= begin) & (at + lo < begin + BLOCK)]
-        left = np.maximum(at - AROUND, 0) if not lo else at - AROUND
-        right = np.minimum(at + LENGTH, hi - lo)
-        segment = mixed(p.part(prefix, left, right, left) ^ (at - left).astype(U))
-        found.append((h[at], segment, at + lo))
+        found.append((h[at], at + lo))
     if not found:
-        return np.empty(0, U), np.empty(0, U), np.empty(0, np.int64)
+        return np.empty(0, U), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def joined(seed: np.ndarray, segment: np.ndarray, doc: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """A task's anchors, each (seed, segment) once: kind, seed, salt, segment, doc, at.
+def joined(seed: np.ndarray, doc: np.ndarray, sub: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A task's anchors: kind, seed, doc, sub, at, n.
 
-    Kind 0 is a first anchor, kind 1 one of a repeated segment, to be passed on as it is, kind 2 says that the seed was
-    salted. most: segments of a seed before it is salted.
+    Kind 0 is the one anchor of its seed here, kind 1 one of several, known to be repeated; kind 2 says of a seed that
+    it has n of them.
     """
-    order = np.lexsort((at, doc, segment, seed))
-    seed, segment, doc, at = (x[order] for x in (seed, segment, doc, at))
-    new_seed = np.concatenate([[True], seed[1:] != seed[:-1]])
-    first = new_seed | np.concatenate([[True], segment[1:] != segment[:-1]])
-    leader = np.maximum.accumulate(np.where(first, np.arange(len(seed)), 0))
-    same = (doc == doc[leader]) & (at == at[leader])
-    again = ~first & ~same
-    number = np.cumsum(new_seed) - 1
-    many = np.bincount(number, weights=first) > most
-    hot = many[number]
-    salt = np.where(hot, 1 + (segment % U(SALTS)).astype(np.int64), 0)
-    told = new_seed & hot
-    zero = np.zeros(len(seed), np.int64)
-    parts = [
-        (zero[first], seed[first], salt[first], segment[first], doc[first], at[first]),
-        # These need not meet others: they are spread by document.
-        (zero[again] + 1, mixed(doc[again].view(U)), zero[again], zero[again].view(U), doc[again], at[again]),
-        (zero[told] + 2, seed[told], zero[told], segment[told], doc[told], at[told]),
-    ]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def anchor_rows(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame:
-    batch_bytes(docs.sparkSession)
+    order = np.argsort(seed, kind="stable")
+    seed, doc, sub, at = (x[order] for x in (seed, doc, sub, at))
+    first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+    n = np.diff(np.concatenate([first, [len(seed)]]))
+    several = np.repeat(n > 1, n)
+    told = first[n > 1]
+    kind = np.concatenate([several.astype(np.int8), np.full(len(told), 2, np.int8)])
+    take = np.concatenate([np.arange(len(seed)), told])
+    return kind, seed[take], doc[take], sub[take], at[take], np.concatenate([np.ones(len(seed), np.int64), n[n > 1]])
+
+
+def anchor_rows(texts: DataFrame) -> DataFrame:
+    """Anchors of texts (doc, sub, text), as joined in each task."""
+    names = ["kind", "seed", "doc", "sub", "at", "n"]
 
     def out(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        kind, seed, salt, segment, doc, at = joined(*[np.concatenate(x) for x in held], most)
-        columns = [kind.astype(np.int8), seed.view(np.int64), salt.astype(np.int32), segment.view(np.int64), doc, at.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "seed", "salt", "segment", "doc", "at"])
+        kind, seed, doc, sub, at, n = joined(*[np.concatenate(x) for x in held])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, seed.view(np.int64), doc, sub, at.astype(np.int32), n.astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], [], []]
         count = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for d, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 buffer = t.as_buffer()
-                if i is None or buffer is None or buffer.size < LENGTH:
+                if buffer is None or buffer.size < LENGTH:
                     continue
-                seed, segment, at = anchors(np.frombuffer(buffer, np.uint8))
-                for x, y in zip(held, (seed, segment, np.full(len(at), i, np.int64), at), strict=True):
+                seed, at = anchors(np.frombuffer(buffer, np.uint8))
+                for x, y in zip(held, (seed, np.full(len(at), d, np.int64), np.full(len(at), s, np.int64), at), strict=True):
                     x.append(y)
                 count += len(at)
                 if count >= JOINED:
@@ -166,65 +160,195 @@ def anchor_rows(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame
         if count:
             yield out(held)
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "kind tinyint, seed bigint, salt int, segment bigint, doc bigint, at int")
+    return texts.select("doc", "sub", "text").mapInArrow(run, "kind tinyint, seed bigint, doc bigint, sub bigint, at int, n int")
 
 
-def compared(rows: DataFrame) -> DataFrame:
-    """First anchors of all tasks, compared by seed and segment.
+def repeated(rows: DataFrame, most: int) -> DataFrame:
+    """Anchors of repeated seeds (kind 1), and seeds with more than ``most`` of them (kind 3): kind, seed, doc, sub, at."""
+    # Anchors known to be repeated need not meet others: they are spread by their places.
+    home = F.when(F.col("kind") == 1, F.xxhash64("doc", "at")).otherwise(F.col("seed"))
+    dealt = rows.repartition(home).sortWithinPartitions("seed")
 
-    Gives kind 1 (an anchor of a repeated segment) and kind 3 (an anchor whose seed has different segments): kind, seed,
-    doc, at.
-    """
-    dealt = rows.select("seed", "salt", "kind", "segment", "doc", "at").repartition("seed", "salt").sortWithinPartitions("seed", F.desc("kind"), "segment", "doc", "at")
+    def made(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int8, np.int64, np.int64, np.int64, np.int32), strict=True)], ["kind", "seed", "doc", "sub", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row so far, whether its seed has several segments, and its first anchor while it has but one.
-        last_seed = last_segment = lead_doc = lead_at = None
-        several, waiting = False, None
+        # The last seed, its anchors so far, and its row while there is but one.
+        last, total, waiting = None, 0, np.empty((5, 0), np.int64)
         for b in batches:
-            if not b.num_rows:
+            kind, seed, doc, sub, at, n = (c.to_numpy().astype(np.int64) for c in b.columns)
+            known = kind == 1
+            rows = np.stack([np.ones(len(kind), np.int64), seed, doc, sub, at])
+            yield made(list(rows[:, known]))
+            rows, n, lone = rows[:, ~known], n[~known], (kind == 0)[~known]
+            if not len(n):
                 continue
-            seed, salt, kind, segment, doc, at = (c.to_numpy() for c in b.columns)
-            n = len(seed)
-            told = (kind == 2) | (salt > 0)
-            anchor = kind == 0
-            new_seed = np.concatenate([[seed[0] != last_seed], seed[1:] != seed[:-1]])
-            same_segment = np.concatenate([[segment[0] == last_segment], segment[1:] == segment[:-1]])
-            after_anchor = np.concatenate([[last_segment is not None], anchor[:-1]])
-            first = anchor & (new_seed | ~same_segment | ~after_anchor)
-            # The leader of each anchor: the latest first anchor, in this batch or before.
-            index = np.maximum.accumulate(np.where(first, np.arange(n), -1))
-            of_doc = np.where(index < 0, lead_doc if lead_doc is not None else -1, doc[index])
-            of_at = np.where(index < 0, lead_at if lead_at is not None else -1, at[index])
-            repeat = anchor & ~first & ((doc != of_doc) | (at != of_at))
-            group = np.cumsum(new_seed) - (1 if new_seed[0] else 0)
-            size = int(group[-1]) + 1
-            firsts = np.bincount(group[first], minlength=size) + np.bincount(group[told], minlength=size) * 2
-            before = np.zeros(size, bool)
-            if not new_seed[0]:
-                before[0] = several
-                firsts[0] += waiting is not None
-            many = before | (firsts > 1)
-            open_ended = group == size - 1
-            emit = first & many[group]
-            rows_out = [(np.flatnonzero(repeat | (kind == 1)), 1), (np.flatnonzero(emit), 3)]
-            kinds = np.concatenate([np.full(len(i), k, np.int8) for i, k in rows_out])
-            take = np.concatenate([i for i, _ in rows_out])
-            columns = [kinds, seed[take], doc[take], at[take]]
-            if waiting is not None and not new_seed[0] and many[0]:
-                columns = [np.concatenate([c, np.array([v], c.dtype)]) for c, v in zip(columns, (3, *waiting), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "seed", "doc", "at"])
-            if size > 1 or new_seed[0] or many[0]:
-                waiting = None
-            several = bool(many[-1])
-            lone = np.flatnonzero(first & open_ended)
-            if not several and len(lone):
-                waiting = seed[lone[0]], doc[lone[0]], at[lone[0]]
-            last_seed, last_segment = seed[-1], segment[-1] if anchor[-1] else None
-            lead_doc, lead_at = of_doc[-1], of_at[-1]
-
-    return dealt.mapInArrow(run, "kind tinyint, seed bigint, doc bigint, at int")
+            first = np.flatnonzero(np.concatenate([[True], rows[1, 1:] != rows[1, :-1]]))
+            sums = np.add.reduceat(n, first)
+            if rows[1, 0] == last:
+                sums[0] += total
+                if sums[0] > 1:
+                    yield made(list(waiting))
+                    waiting = waiting[:, :0]
+            else:
+                if total > most:
+                    yield made([np.array([x]) for x in (3, last, 0, 0, 0)])
+                waiting = waiting[:, :0]
+            sizes = np.diff(np.concatenate([first, [len(n)]]))
+            yield made(list(rows[:, lone & np.repeat(sums > 1, sizes)]))
+            crowded = rows[:, first[:-1]][:, sums[:-1] > most]
+            crowded[0] = 3
+            yield made(list(crowded))
+            last, total = rows[1, -1], int(sums[-1])
+            if total == 1:
+                waiting = rows[:, -1:]
+        if total > most:
+            yield made([np.array([x]) for x in (3, last, 0, 0, 0)])
+
+    return dealt.mapInArrow(run, "kind tinyint, seed bigint, doc bigint, sub bigint, at int")
+
+
+#: A segment with its first place (doc, sub, begin) and others; off: where its anchor begins in it.
+SEGMENT = "key bigint, off int, bytes binary, doc bigint, sub bigint, begin int, more array<struct<doc:bigint,sub:bigint,begin:int>>"
+SPANS = "doc bigint, sub bigint, lo int, hi int"
+
+
+def segment_batch(found: dict[tuple[int, int, bytes], int], group: list[int], doc: list[int], sub: list[int], begin: list[int]) -> pa.RecordBatch:
+    """Each different (key, off, bytes) once, with its places in order; found numbers them, group has the number of each place."""
+    group, doc, sub, begin = np.array(group, np.int64), np.array(doc, np.int64), np.array(sub, np.int64), np.array(begin, np.int32)
+    order = np.lexsort((begin, sub, doc, group))
+    group, doc, sub, begin = group[order], doc[order], sub[order], begin[order]
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (begin[1:] == begin[:-1])]) | first
+    more = pa.StructArray.from_arrays([pa.array(x[~again]) for x in (doc, sub, begin)], ["doc", "sub", "begin"])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group[~again], minlength=len(found)))]).astype(np.int32)
+    keys, offs, parts = zip(*found, strict=True)
+    columns = [pa.array(keys, pa.int64()), pa.array(offs, pa.int32()), pa.array(parts, pa.binary()), *[pa.array(x[first]) for x in (doc, sub, begin)], pa.ListArray.from_arrays(pa.array(ends), more)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "off", "bytes", "doc", "sub", "begin", "more"])
+
+
+def segments(texts: DataFrame) -> DataFrame:
+    """Segments of the anchors at places (seed, at) of texts (doc, sub, bytes), those of equal bytes in a task as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, places, size = {}, ([], [], [], []), 0
+        for b in batches:
+            seeds, ats = (x.tolist() for x in (b.column(3).flatten().field(0).to_numpy(), b.column(3).flatten().field(1).to_numpy()))
+            ends = b.column(3).offsets.to_numpy() - b.column(3).offsets[0].as_py()
+            group, docs, subs, begins = places
+            for k, (doc, sub, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                for i in range(ends[k], ends[k + 1]):
+                    at = ats[i]
+                    begin = at - AROUND if at > AROUND else 0
+                    part = text[begin : at + LENGTH]
+                    group.append(found.setdefault((seeds[i], at - begin, part), len(found)))
+                    begins.append(begin)
+                n = ends[k + 1] - ends[k]
+                docs += [doc] * n
+                subs += [sub] * n
+                size += n * LENGTH
+                if size >= HELD:
+                    yield segment_batch(found, *places)
+                    found, places, size = {}, ([], [], [], []), 0
+                    group, docs, subs, begins = places
+        if found:
+            yield segment_batch(found, *places)
+
+    return texts.select("doc", "sub", "bytes", "places").mapInArrow(run, SEGMENT)
+
+
+def grown(rows: DataFrame, length: int) -> DataFrame:
+    """Segments of anchors of this length, dealt anew by longer ones: a segment for the strings that reach far to the right, one for the rest."""
+    spare = LENGTH - length
+    half = -(-spare // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, places = {}, ([], [], [], [])
+            for _, off, text, doc, sub, begin in zip(*[c.to_pylist() for c in b.columns[:6]], strict=True):
+                # First and last start of the strings, and where the longer anchor begins.
+                for lo, hi, anchor in ((off - (spare - half), off, off), (off - spare, off - (spare - half) - 1, off - half)):
+                    lo, end = max(lo, 0), min(hi + LENGTH, len(text))
+                    if anchor >= 0 and anchor + length + half <= len(text) and end - lo >= LENGTH:
+                        key = xxhash.xxh3_64_intdigest(text[anchor : anchor + length + half]) - (1 << 63)
+                        for x, y in zip(places, (found.setdefault((key, anchor - lo, text[lo:end]), len(found)), doc, sub, begin + lo), strict=True):
+                            x.append(y)
+            if found:
+                yield segment_batch(found, *places)
+
+    return rows.mapInArrow(run, SEGMENT)
+
+
+def again_spans(b: pa.RecordBatch, repeat: np.ndarray) -> list[np.ndarray]:
+    """doc, sub, lo, hi of the first places of these rows and of all other places of all rows."""
+    size = pa.compute.binary_length(b.column(2)).to_numpy().astype(np.int64)
+    doc, sub, begin = (b.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5))
+    more = b.column(6)
+    inner = [x.to_numpy().astype(np.int64) for x in more.flatten().flatten()]
+    long = np.repeat(size, np.diff(more.offsets.to_numpy()))
+    return [np.concatenate(x) for x in ((doc[repeat], inner[0]), (sub[repeat], inner[1]), (begin[repeat], inner[2]), (begin[repeat] + size[repeat], inner[2] + long))]
+
+
+def spans_batch(doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(sub.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc", "sub", "lo", "hi"])
+
+
+class Collapse:
+    """Of sorted segments the first of each (key, off, bytes); others are repeats, but for rows of the very same place."""
+
+    def __init__(self) -> None:
+        self.last: tuple = (None, None, None)
+        self.place: tuple = ()
+
+    def split(self, b: pa.RecordBatch) -> tuple[list[int], np.ndarray]:
+        """Rows that are first, and those that are repeats."""
+        first, repeat = [], []
+        for k, (key, off, text, *place) in enumerate(zip(*[c.to_pylist() for c in b.columns[:6]], strict=True)):
+            if (key, off, text) != self.last:
+                self.last, self.place = (key, off, text), place
+                first.append(k)
+            elif place != self.place:
+                repeat.append(k)
+        return first, np.array(repeat, np.int64)
+
+
+def ordered(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.repartition(*by).sortWithinPartitions("key", "off", "bytes", "doc", "sub", "begin")
+
+
+def collapsed(rows: DataFrame) -> DataFrame:
+    """Segments, each different one once (hi null), and spans of the others (key null; begin to hi)."""
+    schema = SEGMENT.rpartition(", more")[0] + ", hi int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Collapse()
+        for b in batches:
+            first, repeat = state.split(b)
+            doc, sub, lo, hi = (pa.array(x) for x in again_spans(b, repeat))
+            none = pa.nulls(len(doc))
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(first, pa.int64())).columns[:6], pa.nulls(len(first), pa.int32())], NAMES)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), doc, sub, lo.cast(pa.int32()), hi.cast(pa.int32())], NAMES)
+
+    return ordered(rows, "key", "off", "bytes").mapInArrow(run, schema)
+
+
+NAMES = ["key", "off", "bytes", "doc", "sub", "begin", "hi"]
+
+
+def dealt_out(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Segments of crowded anchors, as segments of anchors that are not, and spans found on the way."""
+    calm, spans, length = [], [], SEED
+    while True:
+        both = spool(collapsed(rows))
+        spans.append(both.filter("hi is not null").select("doc", "sub", F.col("begin").alias("lo"), "hi"))
+        rows = both.filter("hi is null").drop("hi").withColumn("more", F.array().cast("array<struct<doc:bigint,sub:bigint,begin:int>>"))
+        crowded = spool(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"))
+        if length == LENGTH or crowded.isEmpty():
+            return [*calm, rows], spans
+        crowded = small(crowded)
+        calm.append(rows.join(crowded, "key", "left_anti"))
+        rows = grown(rows.join(crowded, "key", "left_semi"), length)
+        length += -(-(LENGTH - length) // 2)
 
 
 class RunLengthIndex:
@@ -316,8 +440,8 @@ class RunLengthIndex:
         return np.repeat(self.previous, counts) + step, np.repeat(self.prefix, counts) - step
 
 
-def marked(segments: list[bytes], doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (doc, from, to) of repeated bytes in a chunk of segments that begin at these places of documents."""
+def marked(segments: list[bytes], doc: np.ndarray, sub: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs (doc, sub, from, to) of repeated bytes in a chunk of segments that begin at these places of documents."""
     index = RunLengthIndex(segments)
     previous, match = index.statistics()
     n = index.n
@@ -325,8 +449,8 @@ def marked(segments: list[bytes], doc: np.ndarray, begin: np.ndarray) -> tuple[n
     lengths = np.array([len(s) + 1 for s in segments])
     own = np.repeat(np.arange(len(segments)), lengths)
     place = begin[own] + np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    docs = np.unique(doc)
-    when = (np.searchsorted(docs, doc)[own] << 32) | place
+    _, number = np.unique(np.stack([doc, sub], 1), axis=0, return_inverse=True)
+    when = (number.ravel()[own] << 32) | place
     root = np.arange(n)
     root[linked] = previous[linked]
     while True:
@@ -341,95 +465,107 @@ def marked(segments: list[bytes], doc: np.ndarray, begin: np.ndarray) -> tuple[n
     involved[root[linked]] = True
     at = np.flatnonzero(involved & (when > first[root]))
     if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     new = np.concatenate([[True], (np.diff(at) != 1) | (own[at][1:] != own[at][:-1])])
     last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])
-    return doc[own[at[new]]], place[at[new]], place[at[last]] + LENGTH
-
-
-SPANS = "doc bigint, lo int, hi int"
+    return doc[own[at[new]]], sub[own[at[new]]], place[at[new]], place[at[last]] + LENGTH
 
 
-def spans_batch(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc", "lo", "hi"])
-
-
-def indexed(segments: DataFrame) -> DataFrame:
-    """Repeated spans among the segments (seed, doc, begin, bytes) of each seed, by run-length indexes over chunks of whole seeds."""
-    dealt = segments.repartition("seed").sortWithinPartitions("seed", "doc", "begin")
+def indexed(rows: DataFrame) -> DataFrame:
+    """Repeated spans among the segments of each anchor, by run-length indexes over chunks of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds: list[int] = []
-        docs: list[int] = []
-        begins: list[int] = []
+        state = Collapse()
         parts: list[bytes] = []
-        size = 0
+        places: list[tuple[int, int, int]] = []
+        size, last = 0, None
 
         def chunk() -> pa.RecordBatch:
-            return spans_batch(*marked(parts, np.array(docs, np.int64), np.array(begins, np.int64)))
+            return spans_batch(*marked(parts, *np.array(places, np.int64).T))
 
         for b in batches:
-            for seed, doc, begin, part in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if size >= CHUNK and seed != seeds[-1]:
+            first, repeat = state.split(b)
+            yield spans_batch(*again_spans(b, repeat))
+            keys, _, texts, *at = (c.to_pylist() for c in b.take(pa.array(first, pa.int64())).columns[:6])
+            for key, part, *place in zip(keys, texts, *at, strict=True):
+                if size >= CHUNK and key != last:
                     yield chunk()
-                    seeds, docs, begins, parts, size = [], [], [], [], 0
-                seeds.append(seed)
-                docs.append(doc)
-                begins.append(begin)
+                    parts, places, size = [], [], 0
+                last = key
                 parts.append(part)
+                places.append(place)
                 size += len(part) + 1
         if parts:
             yield chunk()
 
-    return dealt.select("seed", "doc", "begin", "bytes").mapInArrow(run, SPANS)
+    return ordered(rows, "key").mapInArrow(run, SPANS)
 
 
-def split_by_string(segments: DataFrame) -> DataFrame:
-    """Repeated spans among segments of hot seeds: each string's hash is grouped by itself."""
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id, doc and sub (which name a document and order documents) and text of each row of docs."""
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+    slim = docs.select(F.col(doc_id).alias("id"), key.alias("doc"), F.col(text).alias("text"))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = spool(slim.groupBy("doc").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low != high").select(F.col("doc").alias("__doc")))
+    if several.isEmpty():
+        return slim.withColumn("sub", F.lit(0).cast("long"))
+    both = slim.join(small(several), F.col("doc") == F.col("__doc"), "left")
+    return both.withColumn("sub", F.when(F.col("__doc").isNull(), F.lit(0)).otherwise(digest).cast("long")).drop("__doc")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = polynomial()
-        for b in batches:
-            for doc, begin, part in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                n = len(part) - LENGTH + 1
-                if n > 0:
-                    prefix = p.prefix(np.frombuffer(part, np.uint8))
-                    h = p.part(prefix, slice(0, n), slice(LENGTH, None), slice(0, n))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, doc, np.int64)), pa.array(np.arange(begin, begin + n, dtype=np.int32))], ["string", "doc", "at"])
 
-    strings = segments.select("doc", "begin", "bytes").mapInArrow(run, "string bigint, doc bigint, at int")
-    first = strings.groupBy("string").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = strings.join(first, "string").filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    return again.select("doc", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")).distinct()
+def same_document(left: str, right: str) -> Column:
+    return (F.col("doc") == F.col(left)) & (F.col("sub") == F.col(right))
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, many: int = MANY) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """Per row of docs: its id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left) and the removed spans."""
-    found = spool(compared(anchor_rows(docs, doc_id, text, many)))
-    # Per document, at most as many as it has anchors.
-    repeat, begin = F.col("kind") == 1, F.greatest(F.col("at") - AROUND, F.lit(0))
-    spans = F.collect_list(F.when(repeat, F.struct(begin.alias("lo"), (F.col("at") + LENGTH).alias("hi")))).alias("spans")
-    lists = found.groupBy("doc").agg(spans, F.collect_list(F.when(~repeat, F.struct("seed", "at"))).alias("places"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("bytes"))
-    both = texts.join(lists, F.col("id") == F.col("doc"), "left")
-    free = F.col("doc").isNull()
-    both = spool(both.select("id", F.length("bytes").cast("long").alias("n_bytes"), F.when(free, F.sha2("bytes", 256)).alias("sha"), F.when(~free, F.col("bytes")).alias("bytes"), "spans", "places"))
-    involved = both.filter("bytes is not null")
-
-    place = involved.filter("size(places) > 0").select(F.col("id").alias("doc"), "bytes", F.explode("places").alias("p"))
-    begin = F.greatest(F.col("p.at") - AROUND, F.lit(0))
-    segments = place.select(F.col("p.seed").alias("seed"), "doc", begin.alias("begin"), F.substring("bytes", begin + 1, F.col("p.at") + LENGTH - begin).alias("bytes"))
-    crowded = small(spool(found.filter("kind = 3").groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("seed")))
-    marks = indexed(segments.join(crowded, "seed", "left_anti")).union(split_by_string(segments.join(crowded, "seed", "left_semi")))
-    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
-    final = involved.select("id", "n_bytes", "bytes", "spans").join(marks, F.col("id") == F.col("doc"), "left").select("id", "n_bytes", "bytes", "spans", "more")
+    batch_bytes(docs.sparkSession)
+    with scratch() as held:
+        both, marks = spans_of(named(docs, doc_id, text), most)
+        return held.keep(reported(both, marks).withColumnRenamed("id", doc_id))
+
+
+def spans_of(texts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """texts with their bytes if they have anchors of repeated seeds, else with the digest of all; and spans per document."""
+    with scratch() as held:
+        found = spool(repeated(anchor_rows(texts), most))
+        busy = spool(found.filter("kind = 3").select("seed").distinct())
+        anchors_ = found.filter("kind = 1").drop("kind")
+        any_busy = not busy.isEmpty()
+        anchors_ = anchors_.join(small(busy).withColumn("busy", F.lit(True)), "seed", "left") if any_busy else anchors_.withColumn("busy", F.lit(None).cast("boolean"))
+        # Per document, at most as many as it has anchors.
+        lists = anchors_.groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list(F.struct("seed", "at", "busy")).alias("places"))
+        rows = texts.withColumn("bytes", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).join(lists, same_document("d", "s"), "left")
+        free = F.col("places").isNull()
+        both = spool(rows.select("id", "doc", "sub", F.length("bytes").cast("long").alias("n_bytes"), F.when(free, F.sha2("bytes", 256)).alias("sha"), F.when(~free, F.col("bytes")).alias("bytes"), "places"))
+        held.keep(both)
+    with scratch() as held:
+        part = lambda busy: segments(both.filter("bytes is not null").withColumn("places", F.filter("places", lambda p: p["busy"].isNotNull() == F.lit(busy))).filter("size(places) > 0"))
+        rows, spans = [part(False)], []
+        if any_busy:
+            calm, spans = dealt_out(part(True), most)
+            rows += calm
+        all_rows = rows[0]
+        for r in rows[1:]:
+            all_rows = all_rows.unionByName(r)
+        marks = indexed(all_rows)
+        for s in spans:
+            marks = marks.unionByName(s)
+        marks = spool(marks.groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+        held.keep(marks)
+    return both, marks
+
+
+def reported(both: DataFrame, marks: DataFrame) -> DataFrame:
+    final = both.filter("bytes is not null").join(marks, same_document("d", "s"), "left").select("id", "n_bytes", "bytes", "spans")
+    id_type = both.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, n, raw, one, two in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for i, n, raw, found in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 merged: list[list[int]] = []
-                for s in sorted((s["lo"], min(s["hi"], n)) for s in [*(one or []), *(two or [])]):
+                for s in sorted((s["lo"], min(s["hi"], n)) for s in found or []):
                     if s[0] >= n:
                         continue
                     if merged and s[0] <= merged[-1][1]:
@@ -442,10 +578,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: in
                     at = hi
                 digest.update(raw[at:])
                 out.append((i, n, sum(hi - lo for lo, hi in merged), len(merged), digest.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in merged]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+            kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    done = final.mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<lo:int,hi:int>>")
+    done = final.mapInArrow(run, f"id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<lo:int,hi:int>>")
     zero = F.lit(0).cast("long")
     rest = both.filter("bytes is null").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"))
-    return done.unionByName(rest).withColumnRenamed("id", doc_id)
+    return done.unionByName(rest)

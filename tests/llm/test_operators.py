@@ -48,15 +48,53 @@ def patchwork(r, n):
     return out
 
 
-@pytest.mark.parametrize(("hot", "many", "rows"), [(12_000, 64, 2000), (3, 64, 2000), (0, 2, 3), (20, 0, 3), (40, 1, 5)])
-def test_repeats(spark, monkeypatch, hot, many, rows):
+@pytest.mark.parametrize(("most", "rows"), [(5_000, 2000), (3, 2000), (1, 3), (20, 3), (40, 5)])
+def test_repeats(spark, monkeypatch, most, rows):
     monkeypatch.setattr(repeats, "batch_bytes", lambda s: common.batch_bytes(s, rows))
-    docs = patchwork(random.Random(hot + many), 100)
+    docs = patchwork(random.Random(most), 100)
     df = spark.createDataFrame([(d, t.decode()) for d, t in docs], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeats(df, hot=hot, many=many).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeats(df, most=most).collect()}
     assert got == repeats_by_hand(docs)
 
 
+def test_repeats_of_a_crowded_line(spark):
+    """A line that all documents share between words of their own, and some of them more around it."""
+    r = random.Random(3)
+    line = bytes(r.choices(b"abcdefgh ", k=70))
+    sides = [bytes(r.choices(b"xyz ", k=40)) for _ in range(4)]
+    docs = [(d, bytes(r.choices(b"klmnop ", k=r.randint(0, 60))) + r.choice([b"", *sides]) + line + r.choice([b"", *sides]) + bytes(r.choices(b"klmnop ", k=r.randint(0, 60)))) for d in range(150)]
+    df = spark.createDataFrame([(d, t.decode()) for d, t in docs], "doc_id long, text string").repartition(3)
+    for most in (10, 2):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeats(df, most=most).collect()}
+        assert got == repeats_by_hand(docs)
+
+
+def test_repeats_of_odd_rows(spark):
+    """Nulls in ids and texts, equal ids with other texts, repeated rows, clashing columns."""
+    r = random.Random(4)
+    one, two = (bytes(r.choices(b"abcdef ", k=300)).decode() for _ in range(2))
+    rows = [(None, one), (None, two), (4, one[50:] + two[:120]), (4, two), (4, two), (7, None), (8, ""), (9, "short"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "doc", "sub", "bytes", "n", "d", "key"):
+        df = df.withColumn(c, F.lit("mine"))
+    # The documents in their order: by id, then by digest of the text, null ids last.
+    digest = {x.t: x.h for x in spark.createDataFrame([(t,) for _, t in rows if t], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    names = sorted({(i is None, i or 0, digest.get(t, 0), t) for i, t in rows if t})
+    want = repeats_by_hand([(k, t.encode()) for k, (*_, t) in enumerate(names)])
+    by_row = collections.Counter((None if none else i, *want[k]) for k, (none, i, _, t) in enumerate(names) for _ in range(rows.count((None if none else i, t))))
+    by_row.update([(7, 0, 0, 0, hashlib.sha256(b"").hexdigest()), (8, 0, 0, 0, hashlib.sha256(b"").hexdigest()), (None, 0, 0, 0, hashlib.sha256(b"").hexdigest())])
+    got = collections.Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeats(df).collect())
+    assert got == by_row
+    assert repeats.repeats(df.limit(0)).count() == 0
+
+
+def test_marks_come_from_the_index(spark, monkeypatch):
+    """Without the index stage nothing is removed."""
+    monkeypatch.setattr(repeats, "indexed", lambda rows: rows.sparkSession.createDataFrame([], repeats.SPANS))
+    df = spark.createDataFrame([(d, t.decode()) for d, t in patchwork(random.Random(5), 60)], "doc_id long, text string")
+    assert repeats.repeats(df).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_repeats_in_a_long_text_of_several_blocks(spark, monkeypatch):
     r = random.Random(2)
     part = bytes(r.choices(b"abcdefghijkl ", k=3000))
