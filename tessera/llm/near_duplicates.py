@@ -8,14 +8,20 @@ their documents (for equal weights, the Jaccard similarity). Documents that agre
 candidates; at a similarity of 0.8 a pair escapes all bands with probability 7e-6.
 
 Equal texts are joined first, by digest, and only one of them goes on, so copies make no pairs. Within a band's bucket
-no pairs are enumerated: all members are compared with one leader, the member that shares most with others; then the
-buckets whose members are not yet one class are compared with another leader, ``LEADERS`` times or until a leader finds
-nothing new. So a round makes at most as many pairs as there are members. The rounds only shorten what follows: each
-bucket that still holds several classes is dealt in blocks, and every two blocks meet in one place, where all pairs of
-different classes are compared. There a bound on the similarity, computed for one text against a block at once, leaves
-the pairs to verify. So the links are those of all candidates; the work of a bucket that stays open grows with the
-square of its members. Each pair's similarity is computed exactly from the texts, and pairs of at least 0.8 link;
-classes are the connected components.
+no pairs are enumerated: all members are compared with its hub, the member that shares most with others, and then, where
+the members are not yet one class, with further leaders, ``LEADERS`` in all. So a round makes at most as many pairs as
+there are members. These rounds only shorten what follows.
+
+*Closing.* What is left to find in a bucket are pairs x, y of different classes. Either they share a shingle that the
+hub lacks, or their common shingles are the hub's: at most k of them, k being the lesser number that one of the two has
+in common with the hub, of a weight of at most k + e, e the surplus of the group's weights over 1. Similarity then asks
+for w(x) + w(y) <= 2.25 (k + e), which members that are not similar to the hub can hardly meet with others of usual
+length. So members meet by shared shingles outside the hub, and by hub where their weights allow for a pair; such groups
+are dealt in blocks, every two blocks meet in one place, and a bound on the similarity, computed for one text against a
+block at once, leaves the pairs to verify. The links are those of all candidates, whatever the size of a bucket.
+
+Each pair's similarity is computed exactly from the texts, and pairs of at least 0.8 link; classes are the connected
+components.
 
 A text of one to four words is one shingle. Texts without words, and null, have no shingles: each stays alone. Texts
 go by their digest, so ids may be null or repeated; rows with the same id count as rows. A null id is the class_id of
@@ -34,12 +40,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, batch_bytes, free_name, small, spool
+from tessera.llm.common import WORD, batch_bytes, free_name, scratch, small, spool
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 30
-LEADERS = 4
+LEADERS = 2
+#: Two similar texts have shares u, v of their weights in common with 1 / u + 1 / v at most this.
+SHARES = 1 + 1 / SIMILARITY
 #: A block of an open bucket: members, and bytes of their hashes and weights.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 #: Ids, eight bytes each, may be broadcast up to this count.
@@ -232,13 +240,50 @@ def linking(label: list, side: list[int], sets: list[tuple[np.ndarray, np.ndarra
                 yield int(order[x]), int(order[y])
 
 
+def profiles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (hub, id, label) with weight w, k shingles in common with the hub, rest (those it lacks), and heavy: common ones of a weight over 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for h, w, other in zip(*b.columns[3:], strict=True):
+                h, w = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32).astype(float)
+                other = np.frombuffer(other.as_buffer(), np.uint64)
+                common = other[np.minimum(np.searchsorted(other, h), len(other) - 1)] == h
+                heavy = common & (w > 1)
+                rows.append((float(w.sum()), int(common.sum()), h[~common].view(np.int64).tolist(), [{"h": x, "w": y} for x, y in zip(h[heavy].view(np.int64).tolist(), w[heavy].tolist(), strict=True)]))
+            kinds = [pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("h", pa.int64()), ("w", pa.float64())]))]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["hub", "id", "label", "w", "k", "rest", "heavy"])
+
+    full = members.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("hashes").alias("other")), "hub")
+    return full.select("hub", "id", "label", "hashes", "weights", "other").mapInArrow(run, "hub binary, id binary, label binary, w double, k bigint, rest array<bigint>, heavy array<struct<h:bigint,w:double>>")
+
+
+def meetings(profile: DataFrame) -> DataFrame:
+    """bucket, id, label: groups in which all pairs of different labels meet that can be similar."""
+    rest = profile.select("hub", "id", "label", F.explode("rest").alias("h"))
+    shared = rest.groupBy("hub", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).filter("low != high")
+    # Shingles that the same members share are one group.
+    shared = shared.groupBy("hub", "n", "x", "y").agg(F.min("h").alias("h")).select("hub", "h")
+    outside = rest.join(shared, ["hub", "h"]).select(F.xxhash64("hub", "h").alias("bucket"), "id", "label")
+    surplus = profile.select("hub", F.explode("heavy").alias("x")).groupBy("hub", "x.h").agg(F.max("x.w").alias("most")).groupBy(F.col("hub").alias("__hub")).agg(F.sum(F.col("most") - 1).alias("e"))
+    own = profile.filter("id = hub").select(F.col("hub").alias("__own"), F.col("label").alias("of")).distinct()
+    near = profile.drop("rest", "heavy").join(surplus, F.col("hub") == F.col("__hub"), "left").join(own, F.col("hub") == F.col("__own"))
+    near = near.withColumn("reach", SHARES * (F.col("k") + F.coalesce("e", F.lit(0.0))) - F.col("w") + 1e-3).withColumn("apart", F.col("label") != F.col("of")).select("hub", "id", "label", "w", "reach", "apart")
+    ends = near.groupBy(F.col("hub").alias("__hub")).agg(F.min("w").alias("least"), F.max(F.when(F.col("apart"), F.col("reach"))).alias("most"))
+    near = near.join(ends, F.col("hub") == F.col("__hub")).drop("__hub")
+    pair = F.when(F.col("apart"), F.col("reach") >= F.col("least")).otherwise(F.col("w") <= F.col("most"))
+    return outside.unionByName(near.filter(pair).select(F.xxhash64("hub").alias("bucket"), "id", "label"))
+
+
 def finished(now: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that make one class of all that belongs together in the buckets of more than one label.
 
-    now has id, bucket and label. Buckets of two members were compared by the leaders.
+    now has id, bucket and label.
     """
     kind = now.schema["id"].dataType.simpleString()
-    open_ = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2")
+    open_ = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
     rows = spool(now.join(open_.select("bucket"), "bucket").join(sets.select("id", (F.length("hashes") + F.length("weights")).alias("bytes")), "id"))
     shape = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     rows = rows.join(shape, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -282,7 +327,15 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def text_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Per row of docs with words its id and digest; and per digest the label of its class."""
-    rows = spool(banded(docs, doc_id, text))
+    with scratch() as held:
+        rows = spool(banded(docs, doc_id, text))
+        out = rows.select("id", "digest"), classed(docs, rows, text)
+        held.keep(*out)
+    return out
+
+
+def classed(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """Per digest the label of its class."""
     texts = spool(rows.groupBy(F.col("digest").alias("id")).agg(F.min("bands").alias("bands")))
     members = texts.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -290,13 +343,15 @@ def text_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     members = spool(members.drop("n").join(weight, "id"))
     sets = spool(weighted_sets(docs, spool(members.select("id").distinct()), text))
-    edges = tried = labels = None
+    edges = tried = labels = hubs = None
     for round_ in range(LEADERS):
         now = labelled(members, labels)
         rank = F.col("weight") if not round_ else F.xxhash64(F.lit(round_), F.col("label"), F.col("id"))
         best = F.max_by(F.struct("id", "label"), F.struct(rank.alias("rank"), "id")).alias("best")
         leaders = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), best)
         leaders = leaders.filter("low != high").select("bucket", F.col("best.id").alias("leader"), F.col("best.label").alias("of"))
+        if hubs is None:
+            leaders = hubs = spool(leaders)
         pairs = now.join(leaders, "bucket").filter(F.col("label") != F.col("of"))
         pairs = pairs.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
         if tried is not None:
@@ -310,10 +365,15 @@ def text_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
             break
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
-    found = spool(finished(labelled(members, labels).select("id", "bucket", "label"), sets))
-    if not found.isEmpty():
-        labels = components(found if edges is None else edges.union(found))
-    return rows.select("id", "digest"), labelled(texts.select("id"), labels).withColumnRenamed("id", "digest")
+    now = labelled(members, labels).select("id", "bucket", "label")
+    # Buckets of two members were settled by their hub.
+    left = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2")
+    groups = spool(now.join(left.select("bucket"), "bucket").join(hubs.select("bucket", F.col("leader").alias("hub")), "bucket").select("hub", "id", "label").distinct())
+    if not groups.isEmpty():
+        found = spool(finished(spool(meetings(spool(profiles(groups, sets)))), sets))
+        if not found.isEmpty():
+            labels = components(found if edges is None else edges.union(found))
+    return spool(labelled(texts.select("id"), labels).withColumnRenamed("id", "digest"))
 
 
 def wordless(docs: DataFrame, text: str) -> DataFrame:
@@ -334,11 +394,22 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Of rows without words those of equal ids and texts are one; where the id is null each stays.
     """
-    rows, labels = text_classes(docs, doc_id, text)
-    order = F.struct(F.col("id").isNull().alias("none"), "id")
-    first = rows.groupBy("digest").agg(F.min(order).alias("o")).join(labels, "digest").groupBy("label").agg(F.min(F.struct("o", "digest")).alias("first"))
-    first = spool(first.select(F.col("first.o.id").alias("__id"), F.col("first.digest").alias("__digest")))
+    with scratch() as held:
+        first = held.keep(first_of_each(docs, doc_id, text))
+    # One column names text and id, so that copies are spread and one shuffle serves both steps.
     own = free_name(docs, "digest")
-    kept = docs.withColumn(own, digest_of(text)).join(first, (F.col(own) == F.col("__digest")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    kept = docs.withColumn(own, row_name(digest_of(text), F.col(doc_id))).join(first, F.col(own) == F.col("__name"), "left_semi")
     alone = wordless(docs, text)
     return kept.dropDuplicates([own]).drop(own).unionByName(alone.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text])).unionByName(alone.filter(F.col(doc_id).isNull()))
+
+
+def first_of_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Of each class a row of the least id, nulls last, and the least digest with it: its __name."""
+    rows, labels = text_classes(docs, doc_id, text)
+    order = F.struct(F.col("id").isNull().alias("none"), "id")
+    first = rows.groupBy("digest").agg(F.min(order).alias("o")).join(labels, "digest").groupBy("label").agg(F.min(F.struct("o", "digest")).alias("first"))
+    return spool(first.select(row_name(F.col("first.digest"), F.col("first.o.id")).alias("__name")))
+
+
+def row_name(digest: Column, doc_id: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.hex(digest), F.coalesce(F.concat(F.lit("|"), doc_id.cast("string")), F.lit("")))))
