@@ -1,8 +1,16 @@
 """Quality rules by weak supervision.
 
-Each rule votes good, bad or abstains on a document; expectation-maximisation estimates how often each rule is right,
-and a document is kept if its probability of being good, given all votes, is at least 1/2. Only the counts of vote
-patterns reach the driver: at most 3 ** len(RULES) rows, however large the corpus, so all documents count in the fit.
+Each rule votes good, bad or abstains on a document; expectation-maximisation estimates how often each vote is right,
+and a document is kept if its probability of being good, given all votes, is at least 1/2. So one bad vote need not
+reject a document, and how much it takes follows from the corpus. Rules that look at the same thing depend on each
+other: they form a family, whose votes have one joint table, and families are taken as independent given the class.
+
+A document is good or bad, and the bad ones are of several kinds, one for each family: at first, a kind is taken to fail
+its own family's rules (``FAULT``) and to look like a good document to all others; which votes go together in it is
+then learned. Good documents are taken to be most (``GOOD``) and to get few bad votes (``RIGHT``). These figures stay in
+as prior counts of ``PRIOR`` of the corpus and 10 documents, so that a rule without evidence stays mostly right and
+the classes do not change places. Only the counts of vote patterns reach the driver, as many as rules can combine their
+votes and however large the corpus, so all documents that pass the base rule count in the fit.
 
 Base counts of a text: words, their characters, symbols, repeated lines, and words in 5-word windows that occur twice.
 A document with fewer than 10 words or with more than 20 % repeated words fails outright. A null text has no words.
@@ -26,8 +34,11 @@ from tessera.llm.common import WORD, batch_bytes, free_name, spool
 SPLIT = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Further counts for the rules: upper-case and all cased letters, exclamation marks, lines, lines with a word, digits.
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_cased", "n_marks", "n_lines", "n_digits"]
+#: Further counts for the rules: upper-case and all cased letters, exclamation marks, lines with a word, digits, words
+#: without letter or digit, and ends of sentences.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_cased", "n_marks", "n_lines", "n_digits", "n_bare", "n_ends"]
+BARE = re.compile(r"(?<![^\x20\x09-\x0D])[^\w\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")
+END = re.compile(r"[.!?](?![^\x20\x09-\x0D\"'”’»)\]])")
 
 
 def repeated_words(words: list[str]) -> int:
@@ -63,7 +74,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     upper = sum(map(len, re.findall(r"[A-ZÀ-ÖØ-Þ]+", text)))
     cased = sum(map(len, re.findall(r"[A-Za-zÀ-ÖØ-öø-ÿ]+", text)))
     digits = sum(map(len, re.findall(r"\d+", text)))
-    return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), upper, cased, text.count("!"), len(lines), digits)
+    return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), upper, cased, text.count("!"), len(lines), digits, len(BARE.findall(text)), len(END.findall(text)))
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,95 +92,131 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return slim.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
-#: Most good documents on which a rule votes bad; the rules' thresholds are set far out for this.
-FALSE_ALARMS = 0.001
-RULES = ("length", "symbols", "case", "repeats", "marks", "lines", "words", "digits")
+#: Rules by family.
+FAMILIES = (("length",), ("symbols", "many symbols"), ("case",), ("marks",), ("repeats", "lines"), ("words",), ("digits",), ("bare",), ("sentences",))
+RULES = tuple(r for f in FAMILIES for r in f)
+#: Probabilities of the votes bad, abstain, good before any evidence: of a rule on a good document, and of a rule of its
+#: own family on one of a kind of bad documents; share of good documents.
+RIGHT, FAULT, GOOD = (0.01, 0.29, 0.7), (0.5, 0.25, 0.25), 0.9
+#: Weight of these figures, as a share of the documents.
+PRIOR = 0.01
 
 
 def votes(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """Per rule 1 (good), -1 (bad) or 0 (abstains)."""
     n, c = F.greatest(of("n_words"), F.lit(1)), F.greatest(of("n_cased"), F.lit(1))
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
-    length = of("word_chars") / n
+    length, chars = of("word_chars") / n, F.greatest(of("word_chars"), F.lit(1))
     return {
-        "length": vote(of("n_words") < 10, of("n_words") >= 50),
-        "symbols": vote(of("n_symbols") > 0.3 * n, of("n_symbols") < 0.05 * n),
+        "length": vote(of("n_words") < 20, of("n_words") >= 50),
+        "symbols": vote(of("n_symbols") > 0.1 * n, of("n_symbols") < 0.05 * n),
+        "many symbols": vote(of("n_symbols") > 0.3 * n, F.lit(False)),
         "case": vote(of("n_upper") > 0.5 * c, of("n_upper") < 0.2 * c),
-        "repeats": vote(of("n_repeat_words") > 0.2 * n, of("n_repeat_words") < 0.05 * n),
-        "marks": vote(of("n_marks") > 0.3 * n, of("n_marks") < 0.05 * n),
-        "lines": vote(of("n_dup_lines") > 0.5 * F.greatest(of("n_lines"), F.lit(1)), F.lit(False)),
-        "words": vote((length < 2) | (length > 20), (length > 3) & (length < 10)),
-        "digits": vote(of("n_digits") > of("word_chars") * 0.6, F.lit(False)),
+        "marks": vote(of("n_marks") > 0.2 * n, of("n_marks") < 0.05 * n),
+        "repeats": vote(of("n_repeat_words") > 0.1 * n, of("n_repeat_words") < 0.05 * n),
+        "lines": vote(of("n_dup_lines") > 0.2 * F.greatest(of("n_lines"), F.lit(1)), F.lit(False)),
+        "words": vote((length < 3) | (length > 10), (length > 4) & (length < 8)),
+        "digits": vote(of("n_digits") > 0.2 * chars, of("n_digits") < 0.05 * chars),
+        "bare": vote(of("n_bare") > 0.1 * n, of("n_bare") < 0.03 * n),
+        "sentences": vote(of("n_ends") < 0.01 * n, of("n_ends") > 0.03 * n),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Share of good documents, and per rule the probabilities [class][vote] (class 1 good; votes -1, 0, 1).
+class Model:
+    """Share of each class (good, then the kinds of bad documents), and per family the probabilities [class][joint vote]."""
 
-    Starts from rules that are mostly right and a corpus that is mostly good; these figures stay in as prior counts, so
-    that a rule without evidence stays mostly right and the classes do not change places. A rule votes bad on at most
-    FALSE_ALARMS of the good documents: without this bound the classes would be whichever rules vote together.
-    """
-    start = np.tile(np.array([[0.3, 0.3, 0.4], [0.004, 0.296, 0.7]]), (len(RULES), 1, 1))
-    share, table = 0.9, start.copy()
+    def __init__(self, shares: np.ndarray, tables: list[np.ndarray]):
+        self.shares, self.tables = shares, tables
+
+    def classes(self, cells: np.ndarray) -> np.ndarray:
+        """Posterior [class][row] of rows of joint votes, a column for each family."""
+        logs = np.log(self.shares)[:, None] + sum(np.log(t[:, cells[:, k]]) for k, t in enumerate(self.tables))
+        p = np.exp(logs - logs.max(axis=0))
+        return p / p.sum(axis=0)
+
+
+def before_evidence() -> Model:
+    kinds = len(FAMILIES)
+    tables = []
+    for k, family in enumerate(FAMILIES):
+        one = np.array([RIGHT] + [FAULT if x == k else RIGHT for x in range(kinds)])
+        joint = one
+        for _ in family[1:]:
+            joint = (joint[:, :, None] * one[:, None, :]).reshape(1 + kinds, -1)
+        tables.append(joint)
+    return Model(np.array([GOOD] + [(1 - GOOD) / kinds] * kinds), tables)
+
+
+def cells_of(patterns: np.ndarray) -> np.ndarray:
+    """Joint votes of the families, from rows of votes in the order of RULES."""
+    out, at = [], 0
+    for family in FAMILIES:
+        cell = np.zeros(len(patterns), np.int64)
+        for _ in family:
+            cell = 3 * cell + patterns[:, at] + 1
+            at += 1
+        out.append(cell)
+    return np.stack(out, 1)
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> Model:
+    """Expectation-maximisation over vote patterns and their numbers."""
+    start = before_evidence()
     if not patterns:
-        return share, table
-    seen = np.array([p for p, _ in patterns]) + 1
+        return start
+    cells = cells_of(np.array([p for p, _ in patterns]))
     n = np.array([c for _, c in patterns], float)
-    strength = 0.005 * n.sum() + 10
+    strength = PRIOR * n.sum() + 10
+    model = start
     for _ in range(rounds):
-        good = posterior(seen, share, table)
-        new = np.empty_like(table)
-        for k in range(len(RULES)):
-            for v in range(3):
-                at = n * (seen[:, k] == v)
-                new[k, :, v] = (at * (1 - good)).sum(), (at * good).sum()
-        new += strength * start
-        new /= new.sum(axis=2, keepdims=True)
-        false = np.minimum(new[:, 1, 0], FALSE_ALARMS)
-        new[:, 1, 1:] *= ((1 - false) / (1 - new[:, 1, 0]))[:, None]
-        new[:, 1, 0] = false
-        new_share = ((n * good).sum() + 0.9 * strength) / (n.sum() + strength)
-        done = np.abs(new - table).max() < 1e-9
-        share, table = new_share, new
+        weights = n * model.classes(cells)
+        tables = []
+        for k, prior in enumerate(start.tables):
+            new = strength * prior
+            for c, w in enumerate(weights):
+                new[c] += np.bincount(cells[:, k], w, new.shape[1])
+            tables.append(new / new.sum(axis=1, keepdims=True))
+        after = Model((weights.sum(axis=1) + strength * start.shares) / (n.sum() + strength), tables)
+        done = max(np.abs(a - b).max() for a, b in zip(after.tables, model.tables, strict=True)) < 1e-9
+        model = after
         if done:
             break
-    return float(share), table
-
-
-def posterior(seen: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
-    logs = np.log(table[np.arange(len(RULES))[None, :], :, seen]).sum(axis=1)
-    return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1] + math.log((1 - share) / share), -700, 700)))
+    return model
 
 
 def patterns_of(counts: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """Vote patterns and their numbers, over all rows."""
-    rows = counts.select(*[v.alias(k) for k, v in votes().items()]).groupBy(*RULES).agg(F.count("*").alias("n")).orderBy(*RULES)
+    """Vote patterns and their numbers, over all rows that pass the base rule."""
+    rows = counts.filter(~failed()).select(*[v.alias(k) for k, v in votes().items()]).groupBy(*RULES).agg(F.count("*").alias("n")).orderBy(*RULES)
     return [(tuple(r[:-1]), r[-1]) for r in rows.collect()]
 
 
-def good_probability(share: float, table: np.ndarray, of: Callable[[str], Column] = F.col) -> Column:
+def good_probability(model: Model, of: Callable[[str], Column] = F.col) -> Column:
     """The posterior as an expression over the counts."""
-    total = F.lit(math.log(share / (1 - share)))
-    for k, vote in enumerate(votes(of).values()):
-        gain = [float(math.log(table[k, 1, v] / table[k, 0, v])) for v in range(3)]
-        total = total + F.when(vote < 0, gain[0]).when(vote > 0, gain[2]).otherwise(gain[1])
-    return 1 / (1 + F.exp(-total))
+    vote = votes(of)
+    row = lambda values: F.array(*[F.lit(float(x)) for x in values])
+    logs = row(np.log(model.shares))
+    for family, table in zip(FAMILIES, model.tables, strict=True):
+        cell = F.lit(0)
+        for rule in family:
+            cell = 3 * cell + vote[rule] + 1
+        logs = F.zip_with(logs, F.get(F.array(*[row(c) for c in np.log(table).T]), cell), lambda a, b: a + b)
+    # One class after another against the good one, the first.
+    return F.get(F.transform(F.array(logs), lambda x: 1 / F.aggregate(x, F.lit(0.0), lambda s, y: s + F.exp(y - x[0]))), F.lit(0))
 
 
 def failed(of: Callable[[str], Column] = F.col) -> Column:
     return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
 
 
-def verdict(share: float, table: np.ndarray, of: Callable[[str], Column] = F.col) -> Column:
-    return ~failed(of) & (good_probability(share, table, of) >= 0.5)
+def verdict(model: Model, of: Callable[[str], Column] = F.col) -> Column:
+    return ~failed(of) & (good_probability(model, of) >= 0.5)
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: its id, COUNTS, base_failed, p_good and kept."""
     counts = spool(measured(docs, doc_id, text))
     model = fit(patterns_of(counts))
-    return counts.withColumns({"base_failed": failed(), "p_good": good_probability(*model), "kept": verdict(*model)}).withColumnRenamed("id", doc_id)
+    return counts.withColumns({"base_failed": failed(), "p_good": good_probability(model), "kept": verdict(model)}).withColumnRenamed("id", doc_id)
 
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +224,7 @@ def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     The patterns of all rows are counted first; then each row is measured again where it lies, so no text is moved.
     """
-    share, table = fit(patterns_of(measured(docs, doc_id, text)))
+    model = fit(patterns_of(measured(docs, doc_id, text)))
     rows = free_name(docs, "counts")
     batch_bytes(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(rows, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
@@ -190,4 +237,4 @@ def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, column], [*b.schema.names, rows])
 
     counted = docs.mapInArrow(run, schema)
-    return counted.filter(verdict(share, table, lambda c: F.col(rows)[c])).select(*docs.columns)
+    return counted.filter(verdict(model, lambda c: F.col(rows)[c])).select(*docs.columns)
