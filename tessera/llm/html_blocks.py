@@ -1,7 +1,8 @@
 """HTML into text blocks: a tolerant reader shared by main-text extraction and interleaved sequences.
 
 A block is what stands between two block-level tags; inline markup and line breaks do not end it. Each block knows its
-links, its tags, what kinds of element surround it, and the element that holds it.
+links, its tags, what kinds of element surround it, and the element that holds it. A head without end tag ends where
+the first thing comes that has no place in it, and an element whose content is skipped is only entered if it is closed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass, field
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 SKIPPED = frozenset("head title noscript template select option optgroup textarea button iframe object canvas svg audio video datalist".split())
+CONTROLS = frozenset("title select option optgroup textarea button datalist".split())
+IN_HEAD = frozenset("head base link meta title style script noscript template".split())
 RAW = "script|style|xmp|noembed|noframes"
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -43,6 +46,7 @@ class Block:
     parent: int
     order: int
     link_chars: int = 0
+    holder: int = 0
 
 
 @dataclass
@@ -60,6 +64,22 @@ class Page:
     media: list[Media] = field(default_factory=list)
     #: For each figure, its caption.
     captions: dict[int, str] = field(default_factory=dict)
+    #: For each block-level element, the one around it.
+    around: dict[int, int] = field(default_factory=dict)
+
+    def distance(self, a: Block, b: Block, most: int = 8) -> int:
+        """Steps through the tree of block-level elements between those that hold a and b; above most: most + 1."""
+        x, y = {a.holder: 0}, {b.holder: 0}
+        i, j = a.holder, b.holder
+        for n in range(most + 1):
+            if i in y:
+                return min(most + 1, x[i] + y[i])
+            if j in x:
+                return min(most + 1, x[j] + y[j])
+            i, j = self.around.get(i, 0), self.around.get(j, 0)
+            x.setdefault(i, n + 1)
+            y.setdefault(j, n + 1)
+        return most + 1
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -98,6 +118,7 @@ def read(source: str) -> Page:
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     made, at, buffer, links = 0, 0, [], 0
     figures: list[int] = []
+    lower, last_end = "", {}
 
     def flush() -> None:
         nonlocal buffer, links
@@ -108,11 +129,23 @@ def read(source: str) -> Page:
                 if tag == "figcaption" and figures:
                     page.captions[figures[-1]] = text
                 parent = next((n for t, _, n, _ in reversed(stack[:-1]) if t in BLOCK or not t), 0) if len(stack) > 1 else 0
-                page.blocks.append(Block(text, tag, flags & ~LINK, parent, len(page.blocks), links))
+                page.blocks.append(Block(text, tag, flags & ~LINK, parent, len(page.blocks), links, number))
             buffer, links = [], 0
 
+    def closed(tag: str, at: int) -> bool:
+        """Whether an element with skipped content that begins here has an end; a form control has it before the next one."""
+        nonlocal lower
+        lower = lower or source.lower()
+        if tag not in last_end:
+            last_end[tag] = lower.rfind(f"</{tag}")
+        if last_end[tag] < at:
+            return False
+        return tag not in CONTROLS or lower.find(f"<{tag}", at, lower.find(f"</{tag}", at)) < 0
+
     def write(raw: str) -> None:
         nonlocal links
+        if stack[-1][0] == "head" and raw and not raw.isspace():
+            close({"head"}, set())
         if raw and not stack[-1][3]:
             text = html.unescape(raw)
             buffer.append(text)
@@ -155,10 +188,14 @@ def read(source: str) -> Page:
             close({"p"}, {"td", "th", "table", "article", "section", "div", "li", "figure", "blockquote", "button"})
         if tag in CLOSED_BY:
             close(CLOSED_BY[tag], SCOPES[tag])
-        if tag == "body" and any(x[0] == "head" for x in stack):
+        if tag not in IN_HEAD and any(x[0] == "head" for x in stack):
             close({"head"}, set())
+        if tag in SKIPPED and tag != "head" and not closed(tag, at):
+            continue
         made += 1
         _, flags, _, skipped = stack[-1]
+        if tag in BLOCK:
+            page.around[made] = next((n for t, _, n, _ in reversed(stack) if t in BLOCK or not t), 0)
         if tag == "article":
             flags &= ~HEADER
         stack.append((tag, flags | flags_of(tag, rest), made, skipped or tag in SKIPPED))

@@ -1,15 +1,18 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page's blocks are labelled content or boilerplate at once. A logistic classifier of block features gives each block's
-cost of either label: the capacities of its edges to the two terminals. Neighbouring blocks, and blocks that the same
-element holds, are joined by smoothness edges, so a short line amid an article stays with it. The minimum cut between
-the terminals, found by max-flow, is the labelling of least cost. Menus, footers, asides, forms and hidden elements are
-bound to the boilerplate terminal by edges that no cut affords.
-
-The classifier is fitted here, on ``EXAMPLES`` invented pages (a fixed number) whose blocks are known. Before the flow,
-blocks whose own cost outweighs all their edges are settled, which leaves the minimum as it is; so long pages stay
-cheap. Blocks are kept whole and in page order. A null or empty page, and one without content, gives an empty text.
-Repeated rows give the same text. A page is one row: memory is bounded by the largest page.
+A page's blocks are labelled content or boilerplate at once. A logistic classifier of block features, elements and class
+names among them, gives each block's odds; their logarithms, at a temperature at which the odds are calibrated, are the
+capacities of its edges to the two terminals. Neighbouring blocks, and blocks that the same element holds, are joined by
+smoothness edges that halve with every two steps between them in the document's tree, so a short line amid an article
+stays with it, and a long one amid a footer goes. The minimum cut between the terminals, found by max-flow, is the
+labelling of least cost.
+
+The classifier is fitted here, on ``EXAMPLES`` invented pages (a fixed number) whose blocks are known; on a share of them
+(``PLAIN``) elements and class names say nothing. Temperature and smoothness are set on further pages of that kind, which
+the classifier has not seen. Before the flow, blocks whose own cost outweighs all their edges are settled, which leaves
+the minimum as it is; so long pages stay cheap. Blocks are kept whole and in page order. Hidden elements are no part of
+a page's text. A null or empty page, and one without content, gives an empty text. Repeated rows give the same text. A
+page is one row: memory is bounded by the largest page.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import math
 import random
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -26,18 +30,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_bytes, free_name
-from tessera.llm.html_blocks import ARTICLE, BOILER, HEADER, HIDDEN, MARKED, Block, read
+from tessera.llm.html_blocks import ARTICLE, BOILER, HEADER, HIDDEN, MARKED, Block, Page, read
 
-EXAMPLES = 240
-BOUND = 1e6
-NEXT, SAME_PARENT = 0.7, 0.5
+#: Invented pages to fit the classifier on, and for temperature and smoothness; share of them without telling names.
+EXAMPLES, FURTHER, PLAIN = 360, 160, 0.4
+#: Temperatures and strengths of smoothness edges to choose from.
+TEMPERATURES, STRENGTHS = (1.0, 1.4, 2.0, 2.8, 4.0), (0.3, 0.5, 0.8, 1.2, 1.8)
+#: Cost of keeping what a page does not show.
+UNSEEN = 50.0
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
+@dataclass(frozen=True)
+class Labeller:
+    """Weights of the features, temperature of the odds, strength of smoothness edges."""
+
+    weights: tuple[float, ...]
+    temperature: float
+    strength: float
+
+
 def features(b: Block, in_article: bool) -> list[float]:
     """in_article: whether the page has an article or main element at all."""
     n = len(b.text)
     words = b.text.count(" ") + 1
+    title = b.tag in HEADINGS
     return [
         1.0,
         min(4.0, math.log1p(words)),
@@ -45,8 +62,9 @@ def features(b: Block, in_article: bool) -> list[float]:
         float(bool(b.flags & ARTICLE)),
         float(in_article and not b.flags & ARTICLE),
         float(bool(b.flags & MARKED)),
-        float(bool(b.flags & HEADER)),
-        float(b.tag in HEADINGS),
+        float(bool(b.flags & BOILER)),
+        float(bool(b.flags & HEADER) and not (b.flags & ARTICLE and title)),
+        float(title),
         float(b.tag == "p"),
         float(b.tag == "li"),
         float(b.text[-1] in ".!?:;\"'”»)"),
@@ -58,11 +76,16 @@ def example(r: random.Random) -> tuple[str, set[str]]:
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(1, 9)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     content: set[str] = set()
+    plain = r.random() < PLAIN
 
     def keep(text: str) -> str:
         content.add(text)
         return text
 
+    def box(tag: str, inner: str, names: str = "") -> str:
+        """An element; on a plain page a div without a name."""
+        return f"<div>{inner}</div>" if plain else f"<{tag}{names}>{inner}</{tag}>"
+
     body = [f"<h1>{keep(words(2, 9))}</h1>"] if r.random() < 0.8 else []
     for _ in range(r.randint(1, 9)):
         x = r.random()
@@ -72,41 +95,55 @@ def example(r: random.Random) -> tuple[str, set[str]]:
             body.append(f"<h2>{keep(words(1, 5))}</h2>")
         else:
             body.append("<ul>" + "".join(f"<li>{keep(words(1, 12))}</li>" for _ in range(3)) + "</ul>")
-        if r.random() < 0.08:
+        if r.random() < 0.08 and not plain:
             body.append(f'<div class="{r.choice(["ad", "share", "newsletter"])}">{words(2, 20)}.</div>')
-    holder = r.choice(["article", "main", "div", "div class=content", "section"])
     links = lambda n: "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(n))
-    before = r.sample([f"<div><ul>{links(4)}</ul></div>", f'<div class="{r.choice(["ad", "cookie-notice", "banner"])}">{words(3, 25)}.</div>', f"<header><p>{words(1, 6)}</p></header>", f'<div id="sidebar"><p>{words(3, 30)}.</p></div>'], r.randint(0, 3))
-    after = r.sample([f'<div class="comments"><p>{words(2, 40)}.</p><p>{words(2, 40)}.</p></div>', f"<div><p>{words(1, 4)}</p></div>", f"<ul>{links(3)}</ul>", f'<div class="related"><a href="/y">{words(2, 8)}</a></div>'], r.randint(0, 3))
-    return "".join(before) + f"<{holder}>" + "".join(body) + f"</{holder.split()[0]}>" + "".join(after), content
+    before = [box(r.choice(["nav", "div"]), f"<ul>{links(4)}</ul>"), box("header", f"<p>{words(1, 6)}</p>")]
+    after = [box("div", f"<p>{words(1, 4)}</p>"), f"<ul>{links(3)}</ul>", box("div", f'<a href="/y">{words(2, 8)}</a>', ' class="related"'), box("footer", f"<p>&copy; {words(1, 12)}</p>"), box("form", f"<p>{words(1, 6)}</p><input>")]
+    if not plain:
+        before += [f'<div class="{r.choice(["ad", "cookie-notice", "banner"])}">{words(3, 25)}.</div>', f'<div id="sidebar"><p>{words(3, 30)}.</p></div>', f"<header><h1>{words(1, 4)}</h1></header>"]
+        after += [f'<div class="comments"><p>{words(2, 40)}.</p><p>{words(2, 40)}.</p></div>', f"<aside><p>{words(3, 40)}.</p></aside>", f"<footer><p>{words(4, 25)}.</p></footer>"]
+    holder = r.choice(["article", "main", "div", "div", "section"])
+    names = r.choice(["", " class=content"]) if holder == "div" else ""
+    return "".join(r.sample(before, r.randint(0, min(3, len(before))))) + box(holder, "".join(body), names) + "".join(r.sample(after, r.randint(0, 3))), content
+
+
+def known_blocks(pages: list[tuple[str, set[str]]]) -> tuple[list[Page], np.ndarray, np.ndarray]:
+    """The pages read, and features and labels of all their blocks."""
+    read_pages, rows, labels = [], [], []
+    for source, content in pages:
+        page = read(source)
+        has = any(b.flags & ARTICLE for b in page.blocks)
+        rows += [features(b, has) for b in page.blocks]
+        labels += [b.text in content for b in page.blocks]
+        read_pages.append(page)
+    return read_pages, np.array(rows), np.array(labels, float)
 
 
 @cache
-def weights() -> tuple[float, ...]:
-    """Logistic regression over the blocks of the examples, by gradient steps."""
+def weights() -> Labeller:
+    """Logistic regression over the blocks of the examples, by gradient steps; then temperature and strength on others."""
     r = random.Random(5)
-    rows, labels = [], []
-    for _ in range(EXAMPLES):
-        source, content = example(r)
-        blocks = read(source).blocks
-        has = any(b.flags & ARTICLE for b in blocks)
-        for b in blocks:
-            rows.append(features(b, has))
-            labels.append(b.text in content)
-    x, y = np.array(rows), np.array(labels, float)
+    _, x, y = known_blocks([example(r) for _ in range(EXAMPLES)])
     w = np.zeros(x.shape[1])
     for _ in range(1500):
         w -= 0.8 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + 1e-3 * w)
-    return tuple(w)
+    pages, x, y = known_blocks([example(r) for _ in range(FURTHER)])
+    odds = x @ w
+    temperature = min(TEMPERATURES, key=lambda t: float(np.logaddexp(0, np.where(y > 0, -odds, odds) / t).sum()))
 
+    def wrong(strength: float) -> int:
+        model = Labeller(tuple(w), temperature, strength)
+        return int((np.concatenate([labels_of(p, model) for p in pages]) != y).sum())
 
-def cost(b: Block, has_article: bool, w: tuple[float, ...]) -> float:
-    """Above 0: content is cheaper, by so much."""
-    if b.flags & (BOILER | HIDDEN):
-        return -BOUND
-    if b.flags & HEADER and not (b.flags & ARTICLE and b.tag in HEADINGS):
-        return -BOUND
-    return sum(a * c for a, c in zip(w, features(b, has_article), strict=True))
+    return Labeller(tuple(w), temperature, min(STRENGTHS, key=wrong))
+
+
+def cost(b: Block, has_article: bool, w: Labeller) -> float:
+    """Logarithm of the odds of content."""
+    if b.flags & HIDDEN:
+        return -UNSEEN
+    return sum(a * c for a, c in zip(w.weights, features(b, has_article), strict=True)) / w.temperature
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -180,21 +217,27 @@ def max_flow_side(rest: list[int], own: list[float], near: list[dict[int, float]
                     at[path[-1]] += 1
 
 
-def labelled(source: str, w: tuple[float, ...]) -> tuple[list[Block], list[bool]]:
-    blocks = read(source).blocks
-    has = any(b.flags & ARTICLE for b in blocks)
-    costs = [cost(b, has, w) for b in blocks]
+def smoothness(page: Page, strength: float) -> list[tuple[int, int, float]]:
+    """Edges between neighbours, and between blocks that follow each other in the same element."""
     edges, last = [], {}
-    for i, b in enumerate(blocks):
-        if i and b.flags == blocks[i - 1].flags:
-            edges.append((i - 1, i, NEXT))
-        if b.parent in last and blocks[last[b.parent]].flags == b.flags:
-            edges.append((last[b.parent], i, SAME_PARENT))
+    for i, b in enumerate(page.blocks):
+        other = {i - 1, last.get(b.parent, -1)} - {-1}
+        edges += [(j, i, strength * 2 ** (1 - page.distance(page.blocks[j], b) / 2)) for j in sorted(other)]
         last[b.parent] = i
-    return blocks, minimum_cut(costs, edges)
+    return edges
+
+
+def labels_of(page: Page, w: Labeller) -> list[bool]:
+    has = any(b.flags & ARTICLE for b in page.blocks)
+    return minimum_cut([cost(b, has, w) for b in page.blocks], smoothness(page, w.strength))
+
+
+def labelled(source: str, w: Labeller) -> tuple[list[Block], list[bool]]:
+    page = read(source)
+    return page.blocks, labels_of(page, w)
 
 
-def main_text(source: str | None, w: tuple[float, ...]) -> str:
+def main_text(source: str | None, w: Labeller) -> str:
     if not source:
         return ""
     blocks, keep = labelled(source, w)
