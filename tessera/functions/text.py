@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.errors import QueryError
+
 #: Whatever is neither letter nor digit separates tokens.
 SEPARATOR = r"[^\p{L}\p{N}]+"
 # Typographic quotes, blanks and invisible characters, and their plain forms.
@@ -58,7 +61,7 @@ def wildcard_pattern(word: str, least: int = 3) -> str:
     """A regular expression for a token with * and ?; at least so many letters come first."""
     head = re.split(r"[*?]", word.lower())[0]
     if len(head) < least:
-        raise ValueError(f"{word!r} needs {least} letters before its first wildcard")
+        raise QueryError(f"{word!r} needs {least} letters before its first wildcard")
     return "".join({"*": r"[\p{L}\p{N}]*", "?": r"[\p{L}\p{N}]"}.get(c, re.escape(c)) for c in word.lower())
 
 
@@ -78,6 +81,93 @@ def has_similar(text: Column, word: str, distance: int) -> Column:
     return F.coalesce(F.exists(F.array_distinct(tokens(text)), lambda t: F.levenshtein(t, F.lit(word.lower())) <= distance), F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def fits(token: Column, word: str) -> Column:
+    """Whether a token is the word, which may have wildcards."""
+    return F.rlike(token, F.lit(f"^(?:{wildcard_pattern(word)})$")) if re.search(r"[*?]", word) else token == word
+
+
+def starts(token_array: Column, phrase: list[str]) -> Column:
+    """The places where these words stand one after another."""
+
+    def place(token: Column, i: Column) -> Column:
+        found = fits(token, phrase[0])
+        for k, w in enumerate(phrase[1:], 1):
+            found = found & F.coalesce(fits(F.get(token_array, i + k), w), F.lit(False))
+        return F.when(found, i)
+
+    return F.filter(F.transform(token_array, place), lambda i: i.isNotNull())
+
+
+def has_near(text: Column, operands: list[str], gaps: int, ordered: bool = False) -> Column:
+    """Whether all operands (words or phrases) stand with at most so many other words between them, none within another.
+
+    Only the places of these words are compared, and of each further operand only those near the first.
+    """
+    if len(operands) < 2:
+        raise QueryError("proximity needs two operands")
+    phrases = [wildcard_tokens(o) for o in operands]
+    if not all(phrases):
+        raise QueryError("an operand has no words")
+    sizes = [len(p) for p in phrases]
+    span = sum(sizes) + gaps
+
+    def rest(places: Column, chosen: list[Column]) -> Column:
+        k = len(chosen)
+        if k == len(phrases):
+            first, end = F.least(*chosen), F.greatest(*[c + n for c, n in zip(chosen, sizes, strict=True)])
+            return end - first <= span
+        here = F.filter(places[f"p{k}"], lambda i: F.abs(i - chosen[0]) <= span) if k else places["p0"]
+
+        def fitting(i: Column) -> Column:
+            found = F.lit(True)
+            for c, n in zip(chosen, sizes, strict=False):
+                after = c + n <= i
+                found = found & (after if ordered else after | (i + sizes[k] <= c))
+            return found & rest(places, [*chosen, i])
+
+        return F.exists(here, fitting)
+
+    with_tokens = lambda t: let(F.struct(*[starts(t, p).alias(f"p{k}") for k, p in enumerate(phrases)]), lambda places: rest(places, []))
+    return F.coalesce(let(tokens(text), with_tokens), F.lit(False))
+
+
+def has_within(text: Column, phrase: str, slop: int) -> Column:
+    """Whether the phrase's words stand so that moving them by ``slop`` places in all makes the phrase: a sloppy phrase."""
+    parts = wildcard_tokens(phrase)
+    if not parts:
+        raise QueryError("the phrase has no words")
+    if len(parts) == 1:
+        return has_wildcard(text, parts[0]) if re.search(r"[*?]", parts[0]) else has_all(tokens(text), parts)
+
+    def found(moved: Column) -> Column:
+        all_of = lambda s: [F.exists(moved[f"p{k}"], lambda i: (i >= s) & (i <= s + slop)) for k in range(len(parts))]
+
+        def from_here(s: Column) -> Column:
+            out = F.lit(True)
+            for x in all_of(s):
+                out = out & x
+            return out
+
+        return F.exists(F.flatten(F.array(*[moved[f"p{k}"] for k in range(len(parts))])), from_here)
+
+    moved = lambda t: F.struct(*[F.transform(starts(t, [w]), moved_by(k)).alias(f"p{k}") for k, w in enumerate(parts)])
+    return F.coalesce(let(tokens(text), lambda t: let(moved(t), found)), F.lit(False))
+
+
+def moved_by(k: int) -> Callable[[Column], Column]:
+    return lambda i: i - k
+
+
+def wildcard_tokens(text: str) -> list[str]:
+    """A query's words, wildcards kept."""
+    return [w for w in re.split(r"[^\w*?]+|_", text.lower()) if w.strip("*?")]
+
+
 def plain(text: Column) -> Column:
     """Typographic quotes and blanks made plain, invisible characters removed."""
     return F.translate(F.translate(text, FANCY, PLAIN), INVISIBLE, "")

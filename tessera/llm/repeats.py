@@ -12,9 +12,9 @@ matching statistics of every position are streamed in text order: between two sa
 the common prefix falls by one. Positions whose match is at least LENGTH long, linked to their predecessors, are the
 occurrences of one string; all but the first are marked. So whatever is marked was compared by its bytes.
 
-*Crowded seeds.* Of a seed with more than ``MOST`` anchors, such as that of a line that very many documents share, equal
-segments are joined first, dealt by their bytes. Where more than MOST different ones are left, the anchor grows: each
-string reaches over the seed by half of what it has to spare on the left or on the right, so it is dealt anew by the seed
+*Crowded seeds.* A seed with more than ``MOST`` different segments, such as that of a line that very many documents share,
+is more than a chunk holds; of one with more than ``BUSY`` anchors, more than a task should read, equal segments are
+joined first, dealt by their bytes. Where more than MOST different ones are left, the anchor grows: each string reaches over the seed by half of what it has to spare on the left or on the right, so it is dealt anew by the seed
 with that half, and again, until no anchor is crowded; an anchor as long as a string has equal segments only. All then
 go through the same index.
 
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ AROUND = LENGTH - SEED
 BLOCK = 1 << 19
 #: Anchors that a task joins at once; bytes of segments that it does.
 JOINED, HELD = 1 << 19, 1 << 25
-#: Anchors of a crowded seed; bytes of an indexed chunk.
-MOST, CHUNK = 5_000, 1 << 19
+#: Anchors of a seed that one task may read; different segments of an anchor that a chunk may hold; bytes of a chunk.
+BUSY, MOST, CHUNK = 100_000, 25_000, 1 << 19
 #: Stands for a null id, after all others.
 LAST = (1 << 63) - 1
 U = np.uint64
@@ -210,7 +211,8 @@ def repeated(rows: DataFrame, most: int) -> DataFrame:
 
 #: A segment with its first place (doc, sub, begin) and others; off: where its anchor begins in it.
 SEGMENT = "key bigint, off int, bytes binary, doc bigint, sub bigint, begin int, more array<struct<doc:bigint,sub:bigint,begin:int>>"
-SPANS = "doc bigint, sub bigint, lo int, hi int"
+#: A repeated span (lo to hi), or a segment that begins at lo (hi null).
+FOUND = "doc bigint, sub bigint, lo int, hi int, key bigint, off int, bytes binary"
 
 
 def segment_batch(found: dict[tuple[int, int, bytes], int], group: list[int], doc: list[int], sub: list[int], begin: list[int]) -> pa.RecordBatch:
@@ -289,8 +291,20 @@ def again_spans(b: pa.RecordBatch, repeat: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(x) for x in ((doc[repeat], inner[0]), (sub[repeat], inner[1]), (begin[repeat], inner[2]), (begin[repeat] + size[repeat], inner[2] + long))]
 
 
+def found_batch(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), [c.split()[0] for c in FOUND.split(", ")])
+
+
 def spans_batch(doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(sub.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc", "sub", "lo", "hi"])
+    none = pa.nulls(len(doc))
+    return found_batch(pa.array(doc.astype(np.int64)), pa.array(sub.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()))
+
+
+def crowded_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Segments (key, off, bytes, doc, sub, begin)."""
+    key, off, text, doc, sub, begin = zip(*rows, strict=True)
+    kinds = (doc, pa.int64()), (sub, pa.int64()), (begin, pa.int32()), ([None] * len(rows), pa.int32()), (key, pa.int64()), (off, pa.int32()), (text, pa.binary())
+    return found_batch(*[pa.array(x, t) for x, t in kinds])
 
 
 class Collapse:
@@ -298,18 +312,26 @@ class Collapse:
 
     def __init__(self) -> None:
         self.last: tuple = (None, None, None)
-        self.place: tuple = ()
+        self.place: tuple = (0, 0, 0)
 
-    def split(self, b: pa.RecordBatch) -> tuple[list[int], np.ndarray]:
+    def split(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Rows that are first, and those that are repeats."""
-        first, repeat = [], []
-        for k, (key, off, text, *place) in enumerate(zip(*[c.to_pylist() for c in b.columns[:6]], strict=True)):
-            if (key, off, text) != self.last:
-                self.last, self.place = (key, off, text), place
-                first.append(k)
-            elif place != self.place:
-                repeat.append(k)
-        return first, np.array(repeat, np.int64)
+        n = b.num_rows
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        key, off = b.column(0).to_numpy(), b.column(1).to_numpy()
+        places = [b.column(k).to_numpy() for k in (3, 4, 5)]
+        text = b.column(2)
+        same = pa.compute.equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False) & (key[1:] == key[:-1]) & (off[1:] == off[:-1])
+        carried = self.last == (key[0], off[0], text[0].as_py())
+        first = np.concatenate([[not carried], ~same])
+        lead = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+        moved = np.zeros(n, bool)
+        for p, before in zip(places, self.place, strict=True):
+            moved |= p != np.where(lead < 0, before, p[lead])
+        self.place = tuple(p[lead[-1]] if lead[-1] >= 0 else before for p, before in zip(places, self.place, strict=True))
+        self.last = key[-1], off[-1], text[n - 1].as_py()
+        return np.flatnonzero(first), np.flatnonzero(~first & moved)
 
 
 def ordered(rows: DataFrame, *by: str) -> DataFrame:
@@ -317,36 +339,41 @@ def ordered(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
-    """Segments, each different one once (hi null), and spans of the others (key null; begin to hi)."""
-    schema = SEGMENT.rpartition(", more")[0] + ", hi int"
+    """Segments, each different one once, and spans of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Collapse()
         for b in batches:
             first, repeat = state.split(b)
-            doc, sub, lo, hi = (pa.array(x) for x in again_spans(b, repeat))
-            none = pa.nulls(len(doc))
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(first, pa.int64())).columns[:6], pa.nulls(len(first), pa.int32())], NAMES)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), doc, sub, lo.cast(pa.int32()), hi.cast(pa.int32())], NAMES)
+            yield spans_batch(*again_spans(b, repeat))
+            key, off, text, doc, sub, begin = b.take(pa.array(first)).columns[:6]
+            yield found_batch(doc, sub, begin, pa.nulls(len(first), pa.int32()), key, off, text)
+
+    return ordered(rows, "key", "off", "bytes").mapInArrow(run, FOUND)
 
-    return ordered(rows, "key", "off", "bytes").mapInArrow(run, schema)
 
+def spans_in(found: DataFrame) -> DataFrame:
+    return found.filter("hi is not null").select("doc", "sub", "lo", "hi")
 
-NAMES = ["key", "off", "bytes", "doc", "sub", "begin", "hi"]
 
+def segments_in(found: DataFrame) -> DataFrame:
+    none = F.array().cast("array<struct<doc:bigint,sub:bigint,begin:int>>")
+    return found.filter("hi is null").select("key", "off", "bytes", "doc", "sub", F.col("lo").alias("begin"), none.alias("more"))
 
-def dealt_out(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+
+def dealt_out(rows: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
     """Segments of crowded anchors, as segments of anchors that are not, and spans found on the way."""
-    calm, spans, length = [], [], SEED
+    calm, spans, length = None, [], SEED
     while True:
         both = spool(collapsed(rows))
-        spans.append(both.filter("hi is not null").select("doc", "sub", F.col("begin").alias("lo"), "hi"))
-        rows = both.filter("hi is null").drop("hi").withColumn("more", F.array().cast("array<struct<doc:bigint,sub:bigint,begin:int>>"))
+        spans.append(spans_in(both))
+        rows = segments_in(both)
         crowded = spool(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"))
         if length == LENGTH or crowded.isEmpty():
-            return [*calm, rows], spans
+            return rows if calm is None else calm.unionByName(rows), spans
         crowded = small(crowded)
-        calm.append(rows.join(crowded, "key", "left_anti"))
+        part = rows.join(crowded, "key", "left_anti")
+        calm = part if calm is None else calm.unionByName(part)
         rows = grown(rows.join(crowded, "key", "left_semi"), length)
         length += -(-(LENGTH - length) // 2)
 
@@ -378,20 +405,27 @@ class RunLengthIndex:
         self.position, self.previous, self.prefix = position[order], previous[order], common[order]
 
     def sort(self, text: np.ndarray, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Suffix array by prefix doubling, and ranks by the first 7, 14, 28 ... bytes."""
-        n, width = self.n, 7
-        padded = np.concatenate([text, np.zeros(width, np.int64)])
-        key = np.zeros(n, np.int64)
-        live = np.ones(n, bool)
-        for k in range(width):
-            symbol = padded[k : k + n]
-            live &= symbol > 0
-            key = key * 257 + np.where(live, symbol, 0)
-        ended = self.left < width
-        # Suffixes that end within the width are told apart by position.
-        order = np.argsort(key, kind="stable")
+        """Suffix array by prefix doubling, and ranks by so many first bytes, each time twice as many."""
+        n = self.n
+        bits = n.bit_length()
+        symbols = np.flatnonzero(np.bincount(text))
+        size = len(symbols) + 1
+        width = max(1, (62 - bits) // size.bit_length())
+        number = np.zeros(int(text.max()) + 1, np.int64)
+        number[symbols] = np.arange(len(symbols))
+        padded = np.concatenate([number[text], np.zeros(width, np.int64)])
+        key = padded[:n].copy()
+        for k in range(1, width):
+            key *= size
+            key += padded[k : k + n]
+        # What lies behind the separator does not count.
+        short = np.flatnonzero(self.left < width)
+        key[short] -= key[short] % size ** (width - self.left[short])
+        # Suffixes that end within the width are told apart by position: the sorted words end in it.
+        order = np.sort((key << bits) | np.arange(n)) & ((1 << bits) - 1)
+        key = key[order]
         fresh = np.ones(n, bool)
-        fresh[1:] = (key[order][1:] != key[order][:-1]) | ended[order][1:]
+        fresh[1:] = (key[1:] != key[:-1]) | (self.left[order[1:]] < width)
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         levels = [(width, rank)]
@@ -400,18 +434,20 @@ class RunLengthIndex:
             active = np.flatnonzero(group[rank] > 1)
             if not len(active):
                 break
-            second = rank[np.minimum(active + width, n - 1)]
-            key = rank[active] * np.int64(n) + second
-            o = np.argsort(key, kind="stable")
-            sorted_key, base = key[o], rank[active][o]
-            fresh = np.ones(len(o), bool)
-            fresh[1:] = sorted_key[1:] != sorted_key[:-1]
-            new_base = np.ones(len(o), bool)
-            new_base[1:] = base[1:] != base[:-1]
-            at = np.arange(len(o))
-            offset = np.maximum.accumulate(np.where(fresh, at, 0)) - np.maximum.accumulate(np.where(new_base, at, 0))
+            base, second = rank[active], rank[np.minimum(active + width, n - 1)]
+            if 3 * bits <= 63:
+                packed = np.sort((base << 2 * bits) | (second << bits) | active)
+                where, key = packed & ((1 << bits) - 1), packed >> bits
+            else:
+                key = (base << bits) | second
+                o = np.argsort(key, kind="stable")
+                where, key = active[o], key[o]
+            base = key >> bits
+            at = np.arange(len(where))
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            new_base = np.concatenate([[True], base[1:] != base[:-1]])
             rank = rank.copy()
-            rank[active[o]] = base + offset
+            rank[where] = base + np.maximum.accumulate(np.where(fresh, at, 0)) - np.maximum.accumulate(np.where(new_base, at, 0))
             width *= 2
             levels.append((width, rank))
         suffixes = np.empty(n, np.int64)
@@ -419,18 +455,22 @@ class RunLengthIndex:
         return suffixes, levels
 
     def common(self, text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefix lengths of suffixes; separators differ."""
+        """Common prefix lengths of suffixes; separators differ. What is left at a level is shorter than twice its width."""
         length = np.zeros(len(a), np.int64)
-        live = b >= 0
-        last = self.n - 1
+        known = np.flatnonzero(b >= 0)
+        x, y, last = a[known], b[known], self.n - 1
+        found = np.zeros(len(known), np.int64)
         for width, rank in reversed(levels):
-            for _ in range(2):
-                x, y = np.minimum(a + length, last), np.minimum(b + length, last)
-                length += width * (live & (x != y) & (rank[x] == rank[y]))
+            same = (rank[x] == rank[y]) & (x != y)
+            step = np.where(same, width, 0)
+            found += step
+            x, y = np.minimum(x + step, last), np.minimum(y + step, last)
+        live = np.ones(len(known), bool)
         for _ in range(levels[0][0]):
-            x, y = np.minimum(a + length, last), np.minimum(b + length, last)
-            live = live & (text[x] == text[y]) & (text[x] > 0)
-            length += live
+            live &= (text[x] == text[y]) & (text[x] > 0)
+            found += live
+            x, y = np.minimum(x + live, last), np.minimum(y + live, last)
+        length[known] = found
         return length
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
@@ -471,34 +511,50 @@ def marked(segments: list[bytes], doc: np.ndarray, sub: np.ndarray, begin: np.nd
     return doc[own[at[new]]], sub[own[at[new]]], place[at[new]], place[at[last]] + LENGTH
 
 
-def indexed(rows: DataFrame) -> DataFrame:
-    """Repeated spans among the segments of each anchor, by run-length indexes over chunks of whole anchors."""
+def indexed(rows: DataFrame, most: int) -> DataFrame:
+    """Repeated spans (doc, sub, lo, hi) among the segments of each anchor, by run-length indexes over chunks of whole anchors.
+
+    Anchors with more than ``most`` different segments are crowded: their segments come back as they are (lo, and no hi).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Collapse()
         parts: list[bytes] = []
         places: list[tuple[int, int, int]] = []
-        size, last = 0, None
+        # Segments in the chunk with their bytes, and from where those of the last anchor begin; whether it is crowded.
+        size, last, begin, crowded = 0, None, 0, False
 
         def chunk() -> pa.RecordBatch:
-            return spans_batch(*marked(parts, *np.array(places, np.int64).T))
+            return spans_batch(*marked(parts, *np.array(places, np.int64).T[:3]))
 
         for b in batches:
             first, repeat = state.split(b)
             yield spans_batch(*again_spans(b, repeat))
-            keys, _, texts, *at = (c.to_pylist() for c in b.take(pa.array(first, pa.int64())).columns[:6])
-            for key, part, *place in zip(keys, texts, *at, strict=True):
-                if size >= CHUNK and key != last:
-                    yield chunk()
-                    parts, places, size = [], [], 0
-                last = key
+            keys, offs, texts, *at = (c.to_pylist() for c in b.take(pa.array(first)).columns[:6])
+            back: list[tuple] = []
+            for key, off, part, *place in zip(keys, offs, texts, *at, strict=True):
+                if key != last:
+                    if size >= CHUNK:
+                        yield chunk()
+                        parts, places, size = [], [], 0
+                    last, begin, crowded = key, len(parts), False
+                if not crowded and len(parts) - begin == most:
+                    crowded = True
+                    back += [(key, o, x, *y) for x, (*y, o) in zip(parts[begin:], places[begin:], strict=True)]
+                    size -= sum(map(len, parts[begin:])) + len(parts) - begin
+                    del parts[begin:], places[begin:]
+                if crowded:
+                    back.append((key, off, part, *place))
+                    continue
                 parts.append(part)
-                places.append(place)
+                places.append((*place, off))
                 size += len(part) + 1
+            if back:
+                yield crowded_batch(back)
         if parts:
             yield chunk()
 
-    return ordered(rows, "key").mapInArrow(run, SPANS)
+    return ordered(rows, "key").mapInArrow(run, FOUND)
 
 
 def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -517,18 +573,18 @@ def same_document(left: str, right: str) -> Column:
     return (F.col("doc") == F.col(left)) & (F.col("sub") == F.col(right))
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", busy: int = BUSY, most: int = MOST) -> DataFrame:
     """Per row of docs: its id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left) and the removed spans."""
     batch_bytes(docs.sparkSession)
     with scratch() as held:
-        both, marks = spans_of(named(docs, doc_id, text), most)
+        both, marks = spans_of(named(docs, doc_id, text), busy, most)
         return held.keep(reported(both, marks).withColumnRenamed("id", doc_id))
 
 
-def spans_of(texts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def spans_of(texts: DataFrame, busy_from: int, most: int) -> tuple[DataFrame, DataFrame]:
     """texts with their bytes if they have anchors of repeated seeds, else with the digest of all; and spans per document."""
     with scratch() as held:
-        found = spool(repeated(anchor_rows(texts), most))
+        found = spool(repeated(anchor_rows(texts), busy_from))
         busy = spool(found.filter("kind = 3").select("seed").distinct())
         anchors_ = found.filter("kind = 1").drop("kind")
         any_busy = not busy.isEmpty()
@@ -541,16 +597,14 @@ def spans_of(texts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         held.keep(both)
     with scratch() as held:
         part = lambda busy: segments(both.filter("bytes is not null").withColumn("places", F.filter("places", lambda p: p["busy"].isNotNull() == F.lit(busy))).filter("size(places) > 0"))
-        rows, spans = [part(False)], []
-        if any_busy:
-            calm, spans = dealt_out(part(True), most)
-            rows += calm
-        all_rows = rows[0]
-        for r in rows[1:]:
-            all_rows = all_rows.unionByName(r)
-        marks = indexed(all_rows)
-        for s in spans:
-            marks = marks.unionByName(s)
+        found = spool(indexed(part(False), most))
+        spans, left = [spans_in(found)], segments_in(found)
+        if any_busy or not left.isEmpty():
+            calm, on_the_way = dealt_out(left.unionByName(part(True)) if any_busy else left, most)
+            spans += [*on_the_way, spans_in(indexed(calm, 1 << 62))]
+        marks = spans[0]
+        for x in spans[1:]:
+            marks = marks.unionByName(x)
         marks = spool(marks.groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
         held.keep(marks)
     return both, marks

@@ -9,21 +9,19 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.errors import QueryError as QueryError
 from tessera.functions import text as words
 
 MOST_VALUES = 100
-OPERATORS = ("is", "in", ">", ">=", "<", "<=", "between", "has", "prefix", "contains_all")
-
-
-class QueryError(ValueError):
-    """A query that cannot be answered as it is put."""
+MOST_AMONG = 10_000
+OPERATORS = ("is", "in", "term", "among", ">", ">=", "<", "<=", "between", "has", "prefix", "contains_all")
 
 
 @dataclass(frozen=True)
@@ -90,7 +88,10 @@ def literal(value: Any, kind: T.DataType) -> Column:
     if isinstance(kind, T.DateType):
         return F.lit(value if isinstance(value, date) else parsed_day(value))
     if isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        return F.lit(value if isinstance(value, datetime) else datetime.fromisoformat(str(value).replace("Z", "+00:00"))).cast(kind)
+        try:
+            return F.lit(value if isinstance(value, datetime) else datetime.fromisoformat(str(value).replace("Z", "+00:00"))).cast(kind)
+        except ValueError:
+            raise QueryError(f"{value!r} is not a time in the form yyyy-mm-ddThh:mm:ss") from None
     return F.lit(str(value))
 
 
@@ -103,10 +104,39 @@ def parsed_day(value: str) -> date:
         raise QueryError(f"{value!r} is not a date in the form yyyy-mm-dd") from None
 
 
+def a_day(value: Any, kind: T.DataType) -> bool:
+    """Whether a value names a whole day on a column of times."""
+    return isinstance(kind, T.TimestampType | T.TimestampNTZType) and isinstance(value, str) and re.fullmatch(r"\d{4}-\d{2}-\d{2}", value) is not None
+
+
 def condition(f: Leaf, c: Column, kind: T.DataType) -> Column:
-    """The leaf on column c of this type; never null."""
+    """The leaf on column c of this type; never null.
+
+    ``is`` compares as it is put, ``term`` strings (one or several) in any case, ``among`` up to 10,000 values. A day on
+    a column of times is all of that day.
+    """
     if isinstance(kind, T.ArrayType):
         return on_array(f, c, kind.elementType)
+    if f.operator == "term":
+        values = f.value if isinstance(f.value, tuple | list) else (f.value,)
+        low = tuple(None if v is None else str(v).lower() for v in values)
+        return condition(Leaf(f.column, low if len(low) > 1 else low[0], "in" if len(low) > 1 else "is", f.negated), F.lower(c), kind)
+    if f.operator == "among":
+        known = [literal(v, kind) for v in dict.fromkeys(f.value) if v is not None]
+        if len(known) > MOST_AMONG:
+            raise QueryError(f"at most {MOST_AMONG} values can be looked among")
+        inside = c.isNotNull() & c.isin(*known) if known else F.lit(False)
+        return ~inside if f.negated else inside
+    if f.operator == "is" and a_day(f.value, kind):
+        begin = datetime.combine(parsed_day(f.value), datetime.min.time())
+        lo, hi = literal(begin, kind), literal(begin + timedelta(days=1), kind)
+        return c.isNull() | (c < lo) | (c >= hi) if f.negated else c.isNotNull() & (c >= lo) & (c < hi)
+    if f.operator == "in" and any(a_day(v, kind) for v in f.value):
+        parts = [condition(Leaf(f.column, v), c, kind) for v in dict.fromkeys(f.value)]
+        found = parts[0]
+        for x in parts[1:]:
+            found = found | x
+        return ~found if f.negated else found
     if f.value is None and f.operator in ("is", "in"):
         return c.isNotNull() if f.negated else c.isNull()
     if f.operator == "is":
@@ -161,6 +191,20 @@ def on_array(f: Leaf, c: Column, kind: T.DataType) -> Column:
     return ~found if f.negated else found
 
 
+def in_any_case(f: Leaf | Branch, schema: T.StructType, codes: dict[str, str]) -> Leaf | Branch:
+    """f with values of string columns compared in any case; codes (column: upper or lower) have one, so they reach the scan."""
+    if isinstance(f, Branch):
+        return replace(f, filters=tuple(in_any_case(x, schema, codes) for x in f.filters))
+    kind = kind_of(schema, f.column)
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if f.operator not in ("is", "in") or f.value is None or not isinstance(inner, T.StringType):
+        return f
+    if f.column in codes:
+        one = lambda v: getattr(str(v), codes[f.column])() if v is not None else None
+        return replace(f, value=tuple(map(one, f.value)) if f.operator == "in" else one(f.value))
+    return replace(f, operator="term")
+
+
 def kind_of(schema: T.StructType, path: str) -> T.DataType:
     """Type of a dotted path; through an array of structs it is an array of the field."""
     kind: T.DataType = schema

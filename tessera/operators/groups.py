@@ -118,7 +118,7 @@ def zero_filled(buckets: DataFrame, possible: DataFrame, key: str) -> DataFrame:
 
 def through(df: DataFrame, column: str, dim: DataFrame, member: str, group: str, row_id: str) -> DataFrame:
     """Rows per group that a small table maps the keys to, such as countries to regions; a row counts once per group."""
-    rows = keyed(df, column).join(F.broadcast(dim.select(F.col(member).alias("key"), F.col(group).alias("of"))), "key")
+    rows = keyed(df, column).join(dim.select(F.col(member).alias("key"), F.col(group).alias("of")), "key")
     return rows.groupBy(F.col("of").alias("key")).agg(F.countDistinct(row_id).alias("count"))
 
 
@@ -130,7 +130,7 @@ def after(buckets: DataFrame, last: object | None, size: int) -> DataFrame:
 
 def named_like(buckets: DataFrame, names: DataFrame, key: str, name: str, q: str) -> DataFrame:
     """buckets with their names, those whose name has q in it."""
-    known = F.broadcast(names.select(F.col(key).alias("key"), F.col(name).alias("key_display_name")))
+    known = names.select(F.col(key).alias("key"), F.col(name).alias("key_display_name"))
     return buckets.join(known, "key").filter(F.contains(F.lower("key_display_name"), F.lit(q.lower())))
 
 
@@ -142,10 +142,90 @@ def years_like(prefix: str) -> tuple[int, int]:
     return int(prefix) * step, int(prefix) * step + step - 1
 
 
-def stats(df: DataFrame, column: str) -> DataFrame:
-    """sum and exact quartiles of a column: one row."""
-    quartiles = [F.percentile(column, p / 100).alias(f"p{p}") for p in (25, 50, 75)]
-    return df.agg(F.count(column).alias("count"), F.sum(column).alias("sum"), *quartiles)
+def stats(df: DataFrame, column: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """count, sum and exact quantiles (p25, p50, p75) of a column, in between two values by their distance: one row.
+
+    One pass gives approximate quantiles a little to either side of each, which bound where the exact ones are; the next
+    counts what lies below each such bracket and the values within. Brackets that hold more than ``FEW`` rows are
+    narrowed in the same way. So no task and not the driver ever holds more than that.
+    """
+    known = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    both = known.agg(F.count("*").alias("n"), F.sum("v").alias("sum")).first()
+    kind = known.schema["v"].dataType
+    exact = T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType()
+    places = [s * (both.n - 1) for s in shares]
+    found = order_statistics(known, both.n, {int(p) for p in places} | {min(int(p) + 1, both.n - 1) for p in places}) if both.n else {}
+    at = lambda p: float(found[int(p)]) + (float(found[min(int(p) + 1, both.n - 1)]) - float(found[int(p)])) * (p - int(p)) if both.n else None
+    names = [f"p{round(100 * s)}" for s in shares]
+    schema = T.StructType([T.StructField("count", T.LongType()), T.StructField("sum", exact), *[T.StructField(x, T.DoubleType()) for x in names]])
+    total = None if both.sum is None else (int if isinstance(exact, T.LongType) else float)(both.sum)
+    return df.sparkSession.createDataFrame([(both.n, total, *[at(p) for p in places])], schema)
+
+
+#: Rows of a bracket whose values come to the driver.
+FEW, ACCURACY = 50_000, 2_000
+
+
+def order_statistics(values: DataFrame, n: int, ranks: set[int]) -> dict[int, object]:
+    """The values (column v, no nulls) of these ranks from 0, by narrowing brackets around each."""
+    out: dict[int, object] = {}
+    # Of each open rank: the ends of its bracket, rows below it, rows within.
+    brackets = dict.fromkeys(ranks, (None, None, 0, n))
+    while brackets:
+        wide = {r: b for r, b in brackets.items() if b[3] > FEW}
+        asked = [F.percentile_approx(F.when(inside(b), F.col("v")), [max(0.0, (r - b[2]) / b[3] - 2 / ACCURACY), min(1.0, (r - b[2]) / b[3] + 2 / ACCURACY)], ACCURACY) for r, b in wide.items()]
+        ends = list(values.agg(*[a.alias(f"e{i}") for i, a in enumerate(asked)]).first()) if asked else []
+        tried = {r: (lo, hi) for r, (lo, hi) in zip(wide, ends, strict=True)} | {r: b[:2] for r, b in brackets.items() if r not in wide}
+        sums = [F.count_if(F.col("v") < (F.lit(lo) if lo is not None else F.col("v"))) for lo, _ in tried.values()] + [F.count_if(inside(b)) for b in tried.values()]
+        counts = list(values.agg(*[x.alias(f"c{i}") for i, x in enumerate(sums)]).first())
+        now = {}
+        for i, (r, (lo, hi)) in enumerate(tried.items()):
+            below, within = counts[i], counts[len(tried) + i]
+            if not below <= r < below + within:
+                lo, hi, below, within = brackets[r]
+            elif lo is not None and lo == hi:
+                out[r] = lo
+                continue
+            now[r] = (lo, hi, below, within)
+        for r, b in now.items():
+            if b[3] <= FEW or b == brackets[r]:
+                seen = b[2]
+                for v, k in values.filter(inside(b)).groupBy("v").agg(F.count("*").alias("k")).orderBy("v").collect():
+                    seen += k
+                    if seen > r:
+                        out[r] = v
+                        break
+        brackets = {r: b for r, b in now.items() if r not in out}
+    return out
+
+
+def inside(bracket: tuple) -> Column:
+    lo, hi = bracket[:2]
+    return F.lit(True) if lo is None else (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
+
+
+def addressed(buckets: DataFrame, base: str) -> DataFrame:
+    """Buckets with their keys as addresses; keys that are addresses already stay."""
+    key = F.col("key").cast("string")
+    return buckets.withColumn("key", F.when(key.startswith("http") | (key == UNKNOWN), key).otherwise(F.concat(F.lit(base), key)))
+
+
+def merged(buckets: DataFrame) -> DataFrame:
+    """Buckets of equal keys as one: their counts are added."""
+    return buckets.groupBy("key").agg(F.sum("count").alias("count"))
+
+
+def beginning(buckets: DataFrame, *prefixes: str) -> DataFrame:
+    """Buckets whose key begins with one of these."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | F.col("key").cast("string").startswith(p)
+    return buckets.filter(found)
+
+
+def groups_count(df: DataFrame, column: str, unknown: bool = False) -> DataFrame:
+    """How many buckets a grouping has in all: one row, groups_count."""
+    return keyed(df, column, unknown=unknown).agg(F.countDistinct("key").alias("groups_count"))
 
 
 def histogram(df: DataFrame, column: str, interval: float, least: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.filters import QueryError, kind_of
+from tessera.sources.spool import spool
 
 MOST_IDS = 10_000
 
@@ -44,6 +45,16 @@ def in_collection(df: DataFrame, column: str, collections: DataFrame, collection
     return df.join(own.select(F.col("entity_id").cast(kind).alias("__id")), F.col(column) == F.col("__id"), "left_anti" if negated else "left_semi")
 
 
+def collection_ids(collections: DataFrame, collection: str, entity: str) -> list[str]:
+    """The ids of a collection of this entity, at most MOST_IDS, for conditions within a tree."""
+    rows = collections.filter(F.col("collection_id") == collection).select("entity_type", "entity_id").distinct().limit(MOST_IDS + 1).collect()
+    if any(r.entity_type != entity for r in rows):
+        raise QueryError(f"{collection} is not a collection of {entity}")
+    if len(rows) > MOST_IDS:
+        raise QueryError(f"a collection has at most {MOST_IDS} ids")
+    return [r.entity_id for r in rows]
+
+
 def named_by(df: DataFrame, row_id: str, edges: DataFrame, source: str, target: str, of: object, negated: bool = False) -> DataFrame:
     """Rows that the row ``of`` points at by an edge (cited by it, related to it)."""
     ids = edges.filter(F.col(source) == F.lit(of)).select(F.col(target).alias("__id")).distinct()
@@ -78,14 +89,14 @@ def descendants(edges: DataFrame, parent: str, child: str, most_levels: int | No
 
     In a cycle a node is its own descendant. most_levels, if given, is an error where there are more levels.
     """
-    step = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct().localCheckpoint()
+    step = spool(edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct())
     down = step.select(F.col("ancestor").alias("__up"), F.col("node").alias("below"))
     reached, level, n = step, step, 0
     while True:
-        # A step of its own each level: lineage stays short, and pairs met before end cycles.
+        # A table of its own each level: lineage stays short, and pairs met before end cycles.
         level = level.join(down, F.col("node") == F.col("__up")).select("ancestor", F.col("below").alias("node")).distinct()
         met = reached.select(F.col("ancestor").alias("__ancestor"), F.col("node").alias("__node"))
-        level = level.join(met, F.col("ancestor").eqNullSafe(F.col("__ancestor")) & F.col("node").eqNullSafe(F.col("__node")), "left_anti").localCheckpoint()
+        level = spool(level.join(met, F.col("ancestor").eqNullSafe(F.col("__ancestor")) & F.col("node").eqNullSafe(F.col("__node")), "left_anti"))
         if level.isEmpty():
             return reached.groupBy("ancestor").agg(F.countDistinct("node").alias("n"))
         n += 1

@@ -45,3 +45,9 @@ def by_external_id(df: DataFrame, row_id: str, links: DataFrame, external: str,
     """The row that an id of another scheme leads to."""
     own = links.filter(F.col(external) == F.lit(value)).select(F.col(internal).alias("__id")).distinct()
     return df.join(own, F.col(row_id) == F.col("__id"), "left_semi")
+
+
+def value_suggestions(df: DataFrame, column: str, q: str, limit: int = 10) -> DataFrame:
+    """Values of a column that begin with q in some word, the most frequent first: key, count. For filling in a filter."""
+    known = df.filter(words.has_phrase_prefix(F.col(column).cast("string"), q))
+    return known.groupBy(F.col(column).cast("string").alias("key")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "key").limit(limit)

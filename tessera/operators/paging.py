@@ -25,9 +25,14 @@ def sort_keys(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def total(keys: list[tuple[str, bool]], unique: str) -> list[tuple[str, bool]]:
-    """keys, with the unique column at the end so that no two rows tie."""
-    return keys if any(k == unique for k, _ in keys) else [*keys, (unique, False)]
+def unique_columns(unique: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (unique,) if isinstance(unique, str) else unique
+
+
+def total(keys: list[tuple[str, bool]], unique: str | tuple[str, ...]) -> list[tuple[str, bool]]:
+    """keys, with the column or columns that tell rows apart at the end, so that no two rows tie."""
+    have = {k for k, _ in keys}
+    return [*keys, *[(k, False) for k in unique_columns(unique) if k not in have]]
 
 
 def order(keys: list[tuple[str, bool]]) -> list[Column]:
@@ -35,7 +40,7 @@ def order(keys: list[tuple[str, bool]]) -> list[Column]:
     return [F.desc_nulls_last(k) if down else F.asc_nulls_last(k) for k, down in keys]
 
 
-def page(df: DataFrame, keys: list[tuple[str, bool]], unique: str, number: int = 1, per_page: int = 25) -> DataFrame:
+def page(df: DataFrame, keys: list[tuple[str, bool]], unique: str | tuple[str, ...], number: int = 1, per_page: int = 25) -> DataFrame:
     """A page by its number; a top-k of the first rows, never a full sort on one machine."""
     if not 1 <= per_page <= MOST_PER_PAGE:
         raise QueryError(f"a page has 1 to {MOST_PER_PAGE} rows")
@@ -55,7 +60,7 @@ def beyond(df: DataFrame, keys: list[tuple[str, bool]], last: list) -> Column:
     return out
 
 
-def keyset_page(df: DataFrame, keys: list[tuple[str, bool]], unique: str, cursor: str | None = None, per_page: int = 25) -> DataFrame:
+def keyset_page(df: DataFrame, keys: list[tuple[str, bool]], unique: str | tuple[str, ...], cursor: str | None = None, per_page: int = 25) -> DataFrame:
     """The page after a cursor; the scan skips what came before by a filter, however deep the page."""
     keys = total(keys, unique)
     rows = df if cursor in (None, "*") else df.filter(beyond(df, keys, decoded(cursor)))
@@ -75,11 +80,13 @@ def decoded(cursor: str) -> list:
         raise QueryError("the cursor is not valid") from None
 
 
-def sample(df: DataFrame, n: int, unique: str, seed: str = "") -> DataFrame:
+def sample(df: DataFrame, n: int, unique: str | tuple[str, ...], seed: str = "") -> DataFrame:
     """n rows in an order that only the seed and the id decide, the same on every run and engine."""
     if not 1 <= n <= MOST_SAMPLED:
         raise QueryError(f"a sample has 1 to {MOST_SAMPLED} rows")
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(unique).cast("string"))), unique).limit(n)
+    columns = unique_columns(unique)
+    name = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns])
+    return df.orderBy(F.md5(name), *columns).limit(n)
 
 
 def any_row(df: DataFrame) -> DataFrame:

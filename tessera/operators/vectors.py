@@ -42,11 +42,20 @@ def saturated(score: Column, count: Column, floor: float = 0.5, weight: float =
     return score * (1 + weight * gate * c / (c + half))
 
 
+def log_scaled(score: Column, count: Column) -> Column:
+    """score, times 1 + the logarithm of a count, or 1/2 where that is at most 1 or missing."""
+    return score * F.when(count.isNull() | (count <= 1), 0.5).otherwise(1 + F.log(count.cast("double")))
+
+
 def rescored(hits: DataFrame, row_id: str, count: str, **how) -> DataFrame:
     """hits in the order of their saturated scores."""
     return hits.withColumn("score", saturated(F.col("score"), F.col(count), **how)).orderBy(F.desc("score"), row_id)
 
 
+def log_rescored(hits: DataFrame, row_id: str, count: str) -> DataFrame:
+    return hits.withColumn("score", log_scaled(F.col("score"), F.col(count))).orderBy(F.desc("score"), row_id)
+
+
 def with_injected(hits: DataFrame, others: DataFrame, row_id: str) -> DataFrame:
     """hits, and those of others that are not among them, at the median score of the hits."""
     middle = hits.agg(F.percentile("score", 0.5).alias("score"))

@@ -7,7 +7,8 @@
      "sort_by": [{"column_id": "o_totalprice", "aggregate": "mean", "direction": "desc"}],
      "sample": 50, "seed": "a", "select": ["o_orderkey"], "page": 1, "per_page": 25, "cursor": "*"}
 
-Filters at the top are joined by and. Text forms of single values are those of ``filters.from_text``.
+Filters at the top are joined by and. Text forms of single values are those of ``filters.from_text``. Text is compared
+in any case, ids of a scheme in any spelling; the operator ``in collection`` takes a collection's name.
 """
 
 from __future__ import annotations
@@ -16,31 +17,50 @@ import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import ids
 from tessera.operators import groups, paging, search
-from tessera.operators.filters import Branch, Leaf, QueryError, compiled, from_text, kind_of, normal
+from tessera.operators.filters import Branch, Leaf, QueryError, compiled, from_text, in_any_case, kind_of, normal
+from tessera.operators.joins import collection_ids
 from tessera.sources.catalog import Entity, abilities, entity, resolved, scan
 
 KNOWN = {"get_rows", "filter_rows", "search", "group_by", "sort_by", "sample", "seed", "select", "page", "per_page", "cursor", "include_unknown"}
 
 
-def tree(raw: dict[str, Any], e: Entity, schema: T.StructType) -> Leaf | Branch:
-    """A filter in JSON as a tree of conditions on the entity's columns."""
+def tree(raw: dict[str, Any], e: Entity, schema: T.StructType, collections: DataFrame | None = None) -> Leaf | Branch:
+    """A filter in JSON as a tree of conditions on the entity's columns; collections: collection_id, entity_type, entity_id."""
     if "join" in raw:
         if raw["join"] not in ("and", "or"):
             raise QueryError(f"filters are joined by and or or, not {raw['join']!r}")
-        return Branch(raw["join"], tuple(tree(x, e, schema) for x in raw["filters"]), bool(raw.get("is_negated")))
+        return Branch(raw["join"], tuple(tree(x, e, schema, collections) for x in raw["filters"]), bool(raw.get("is_negated")))
     column = resolved(e, schema, raw["column_id"])
     kind = kind_of(schema, column)
     operator, value = raw.get("operator", "is"), raw.get("value")
     if operator in (">", ">=", "<", "<=", "between") and "range" not in abilities(kind):
         raise QueryError(f"{column} has no order to compare by")
+    if operator == "in collection":
+        if collections is None:
+            raise QueryError("there are no collections to look in")
+        return Leaf(column, tuple(collection_ids(collections, str(value), raw.get("entity", e.name))), "among", bool(raw.get("is_negated")))
+    if column in e.schemes and operator in ("is", "in") and value is not None:
+        value = [known_id(e.schemes[column], v) for v in value] if isinstance(value, list) else known_id(e.schemes[column], value)
     if operator == "has" and "search" not in abilities(kind):
         raise QueryError(f"{column} is no text")
     return Leaf(column, tuple(value) if isinstance(value, list) else value, operator, bool(raw.get("is_negated")))
 
 
+def known_id(scheme: str, value: Any) -> Any:
+    """A value as its scheme writes it; one that is none of its ids matches nothing, so it is an error."""
+    if value is None:
+        return None
+    found = ids.canonical(scheme, str(value))
+    if found is None:
+        raise QueryError(f"{value!r} is not an id that fits")
+    return found
+
+
 def raw_of(f: Leaf | Branch) -> dict[str, Any]:
     """A tree of conditions in JSON."""
     if isinstance(f, Branch):
@@ -84,21 +104,41 @@ def filters_of_text(text: str, e: Entity, schema: T.StructType) -> list[dict[str
     return out
 
 
-def run(spark: SparkSession, folder: str, query: dict[str, Any], tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The query's rows or buckets. tables stand in for the entities of their names."""
+def rows_of(spark: SparkSession, folder: str, query: dict[str, Any], tables: dict[str, DataFrame] | None, scored: bool) -> DataFrame:
+    """All rows that the query's filters and search let through, with a score if it is asked for."""
     if unknown := set(query) - KNOWN:
         raise QueryError(f"unknown parts of a query: {', '.join(sorted(unknown))}")
     e = entity(query["get_rows"])
     df = (tables or {}).get(e.name)
     df = scan(spark, folder, e.name) if df is None else df
-    conditions = [tree(x, e, df.schema) for x in query.get("filter_rows", [])]
+    conditions = [tree(x, e, df.schema, (tables or {}).get("collections")) for x in query.get("filter_rows", [])]
     if conditions:
-        df = df.filter(compiled(Branch("and", tuple(conditions)), df.schema))
-    scored = "search" in query
-    if scored:
+        df = df.filter(compiled(in_any_case(Branch("and", tuple(conditions)), df.schema, e.codes), df.schema))
+    if "search" in query:
         if not e.search:
             raise QueryError(f"{e.name} has no text to search")
-        df = search.ranked(df, e.search, query["search"], e.popularity)
+        text = query["search"]
+        plain = not set('"~*?') & set(text) and isinstance(search.joined(text), search.Word)
+        if not plain:
+            df = search.search(df, list(e.search), text)
+            df = df.withColumn("score", search.boost(F.col(e.popularity)) if e.popularity else F.lit(1.0)) if scored else df
+        else:
+            df = search.ranked(df, e.search, text, e.popularity) if scored else search.across(df, list(e.search), text)
+    return df
+
+
+def total(spark: SparkSession, folder: str, query: dict[str, Any], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """How many rows the query has over all its pages: one row, count."""
+    return rows_of(spark, folder, query, tables, False).agg(F.count("*").alias("count"))
+
+
+def run(spark: SparkSession, folder: str, query: dict[str, Any], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The query's rows or buckets. tables stand in for the entities of their names, and hold the collections.
+
+    A plain search is ranked where rows are asked for; for buckets and counts it is a filter only.
+    """
+    scored = "search" in query and not query.get("group_by") and "sample" not in query
+    df, e = rows_of(spark, folder, query, tables, scored), entity(query["get_rows"])
     keys = [(x["column_id"], x.get("direction", "asc") == "desc", x.get("aggregate")) for x in query.get("sort_by", [])]
     if query.get("group_by"):
         return grouped(df, e, query, keys)
@@ -107,7 +147,7 @@ def run(spark: SparkSession, folder: str, query: dict[str, Any], tables: dict[st
             raise QueryError("a sample has no order")
         df = paging.sample(df, query["sample"], e.unique, str(query.get("seed", "")))
     else:
-        order = [(c if c == "score" and scored else resolved(e, df.schema, c), down) for c, down, _ in keys] or ([("score", True)] if scored else list(e.order))
+        order = [(c if c == "score" and scored else resolved(e, df.schema, c), down) for c, down, _ in keys] or ([("score", True), *e.search_order] if scored else list(e.order))
         for c, _ in order:
             if "sort" not in abilities(kind_of(df.schema, c)):
                 raise QueryError(f"{c} cannot be sorted by")

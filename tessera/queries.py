@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ids
 from tessera.functions import text as words
 from tessera.operators import groups, joins, lookup, paging, search, vectors
-from tessera.operators.filters import Leaf, all_of, any_of, compiled, from_text, kind_of, negate
+from tessera.operators.filters import Leaf, all_of, any_of, compiled, from_text, in_any_case, kind_of, negate
 from tessera.plans import query as plans
 from tessera.sources import catalog, tables
 
@@ -347,9 +347,12 @@ def select_columns(spark, folder):
     return paging.selected(scan(spark, folder, "orders"), ["o_orderkey", "o_totalprice"])
 
 
-@query("select 'orders' as entity, count(*) as count from orders union all select 'customer', count(*) from customer union all select 'part', count(*) from part")
+TABLES = tuple(catalog.ENTITIES)
+
+
+@query(" union all ".join(f"select '{t}' as entity, count(*) as count from {t}" for t in TABLES))
 def entity_counts(spark, folder):
-    return catalog.counts(spark, folder, ["orders", "customer", "part"])
+    return catalog.counts(spark, folder)
 
 
 @query()
@@ -484,7 +487,7 @@ def search_cross_field(spark, folder):
 
 @query(f"""with {FIELDS}, s as (select doc_id, n_chars,
         (case when list_contains(tt, 'of') and list_contains(tt, 'the') then 1.0 else 0 end) + (case when contains(' ' || array_to_string(tt, ' ') || ' ', ' of the ') then 2.0 else 0 end)
-        + (case when list_contains(bt, 'of') and list_contains(bt, 'the') then 0.1 else 0 end) + (case when contains(' ' || array_to_string(bt, ' ') || ' ', ' of the ') then 0.2 else 0 end) as raw
+        + (case when list_contains(bt, 'of') and list_contains(bt, 'the') then 0.1 else 0 end) + (case when contains(' ' || array_to_string(bt, ' ') || ' ', ' of the ') then 0.15 else 0 end) as raw
         from ft where list_contains(list_concat(tt, bt), 'of') and list_contains(list_concat(tt, bt), 'the'))
     select doc_id, round(cast(greatest(raw, 0.01) * (case when n_chars > 0 then 1 + sqrt(n_chars) else 0.5 end) as double), 4) as score from s""")
 def search_ranked(spark, folder):
@@ -496,19 +499,19 @@ POSITIONS = TOKENS + ", p as (select doc_id, unnest(t) as w, generate_subscripts
 
 @query(f"with {POSITIONS} select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id where a.w = 'the' and b.w = 'of' and a.at <> b.at and abs(a.at - b.at) - 1 <= 3")
 def search_proximity(spark, folder):
-    return search.near(scan(spark, folder, "documents"), "doc_id", "text", ["the", "of"], 3).select("doc_id")
+    return search.near(scan(spark, folder, "documents"), "text", ["the", "of"], 3).select("doc_id")
 
 
 @query(f"""with {POSITIONS}, ph as (select a.doc_id, a.at from p a join p b on a.doc_id = b.doc_id and b.at = a.at + 1 where a.w = 'of' and b.w = 'the')
     select distinct ph.doc_id from ph join p on ph.doc_id = p.doc_id where p.w = 'and' and p.at > ph.at + 1 and p.at - ph.at - 2 <= 8""")
 def search_proximity_ordered(spark, folder):
-    return search.near(scan(spark, folder, "documents"), "doc_id", "text", ["of the", "and"], 8, ordered=True).select("doc_id")
+    return search.near(scan(spark, folder, "documents"), "text", ["of the", "and"], 8, ordered=True).select("doc_id")
 
 
 @query(f"""with {POSITIONS} select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id join p c on a.doc_id = c.doc_id where a.w = 'the' and b.w = 'of' and c.w = 'and'
     and greatest(a.at, b.at, c.at) - least(a.at, b.at, c.at) - 2 <= 6""")
 def search_proximity_three(spark, folder):
-    return search.near(scan(spark, folder, "documents"), "doc_id", "text", ["the", "of", "and"], 6).select("doc_id")
+    return search.near(scan(spark, folder, "documents"), "text", ["the", "of", "and"], 6).select("doc_id")
 
 
 @query(r"select doc_id, regexp_replace(text, '(?i)\b(worthless)\b', '>>\1<<', 'g') as text from documents where contains(lower(text), 'worthless')")
@@ -522,14 +525,8 @@ def token_count(spark, folder):
     return scan(spark, folder, "documents").select("doc_id", F.size(words.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("select doc_id, strip_accents(left(text, 200)) as text from documents")
-def fold_marks(spark, folder):
-    return scan(spark, folder, "documents").select("doc_id", words.folded(F.substring("text", 1, 200)).alias("text"))
-
-
 @query("select doc_id, strip_accents(text) as text from documents")
-def fold_marks_whole(spark, folder):
-    """As fold_marks, over whole texts."""
+def fold_marks(spark, folder):
     return scan(spark, folder, "documents").select("doc_id", words.folded(F.col("text")).alias("text"))
 
 
@@ -608,7 +605,7 @@ def identifiers(spark, folder):
     return df.select("raw", ids.identifier("doi", F.col("raw")).alias("doi"), ids.identifier("orcid", F.col("raw")).alias("orcid"))
 
 
-@query()
+@query("""select '{"n_nationkey":' || n_nationkey || ',"n_name":' || to_json(n_name) || ',"n_regionkey":' || n_regionkey || '}' as json from nation""")
 def json_rows(spark, folder):
     return tables.as_json(scan(spark, folder, "nation"))
 
@@ -623,19 +620,9 @@ def rank_page(spark, folder):
 # Shapes of results.
 
 
-@query(f"with {TOKENS} select doc_id, array_to_string(t[:30], ' ') as text from toks where len(t) > 0")
+@query(f"with {TOKENS} select doc_id, array_to_string(t, ' ') as text from toks where len(t) > 0")
 def decode_positions(spark, folder):
     """Word positions as JSON, decoded into text again."""
-    first = F.slice(words.tokens(F.col("text")), 1, 30)
-    at = F.transform(F.array_distinct(first), lambda w: F.struct(w.alias("key"), F.filter(F.transform(first, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("value")))
-    df = scan(spark, folder, "documents").select("doc_id", F.to_json(F.map_from_entries(at)).alias("index"))
-    df = tables.positions_of_words(df, "index", "positions").filter(F.size("positions") > 0)
-    return df.select("doc_id", tables.text_of_positions("positions").alias("text"))
-
-
-@query(f"with {TOKENS} select doc_id, array_to_string(t, ' ') as text from toks where len(t) > 0")
-def decode_positions_whole(spark, folder):
-    """As decode_positions, over all words."""
     df = scan(spark, folder, "documents").select("doc_id", tables.index_of_words(words.tokens(F.col("text"))).alias("index"))
     df = tables.positions_of_words(df, "index", "positions").filter(F.size("positions") > 0)
     return df.select("doc_id", tables.text_of_positions("positions").alias("text"))
@@ -658,10 +645,12 @@ def completion_hint(spark, folder):
     return df.select("s_suppkey", F.concat("s_name", F.lit(" ("), "n.n_name", F.lit(", "), "region", F.lit(")")).alias("hint"))
 
 
-@query("select event_type as key, count(*) as count from events group by 1")
+@query("select l_orderkey, l_returnflag as key, count(*) as count from lineitem group by 1, 2")
 def map_to_rows(spark, folder):
-    counts = groups.terms(scan(spark, folder, "events"), "event_type")
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct("key", "count"))).alias("m")).select(tables.map_rows("m").alias("x")).select("x.key", "x.count")
+    """Per order a map of return flags, as rows again."""
+    counts = scan(spark, folder, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("key")).agg(F.count("*").alias("count"))
+    maps = counts.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("key", "count"))).alias("m"))
+    return maps.select("l_orderkey", tables.map_rows("m").alias("x")).select("l_orderkey", "x.key", "x.count")
 
 
 @query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_partkey in (3, 14, 15))")
@@ -715,3 +704,148 @@ def knn_documents(spark, folder):
     """The texts of the nearest vectors: a join of ten rows."""
     hits = vectors.nearest(scan(spark, folder, "embeddings"), "vec_id", "embedding", first_vector(spark, folder)).select("vec_id")
     return hits.join(scan(spark, folder, "documents"), F.col("doc_id") == F.col("vec_id")).select("vec_id", "text")
+
+
+# Terms, days, ids and collections in query objects.
+
+WORKS = "works as (select 'W' || lpad(cast(o_orderkey as varchar), 6, '0') as id, case when o_orderkey % 2 = 0 then o_orderpriority else lower(o_orderpriority) end as priority, o_orderdate, o_orderkey from orders)"
+WORK = catalog.Entity("works", "id", (("o_orderkey", False),), schemes={"id": "W"})
+
+
+def works(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with ids and with priorities in mixed case."""
+    priority = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(F.lower("o_orderpriority"))
+    return scan(spark, folder, "orders").select(F.concat(F.lit("W"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("id"), priority.alias("priority"), "o_orderdate", "o_orderkey")
+
+
+def works_where(spark: SparkSession, folder: str, raw: dict, collections: DataFrame | None = None) -> DataFrame:
+    df = works(spark, folder)
+    return df.filter(compiled(in_any_case(plans.tree(raw, WORK, df.schema, collections), df.schema, WORK.codes), df.schema)).select("id")
+
+
+@query(f"with {WORKS} select id from works where lower(priority) in ('1-urgent', '2-high')")
+def filter_term_fold(spark, folder):
+    return works_where(spark, folder, {"column_id": "priority", "operator": "in", "value": ["1-Urgent", "2-HIGH"]})
+
+
+@query("select o_orderkey from orders where cast(o_orderdate as date) = (select cast(min(o_orderdate) as date) from orders) or cast(o_orderdate as date) = date '1995-06-17'")
+def filter_day(spark, folder):
+    df = scan(spark, folder, "orders")
+    first = str(df.agg(F.min("o_orderdate")).first()[0])[:10]
+    return ids_where(df, Leaf("o_orderdate", (first, "1995-06-17"), "in"), "o_orderkey")
+
+
+@query(f"with {WORKS} select id from works where id in ('W000003', 'W000007', 'W000009')")
+def filter_id_forms(spark, folder):
+    return works_where(spark, folder, {"column_id": "id", "operator": "in", "value": ["https://example.org/w000003", " W000007", "works/w000009"]})
+
+
+@query(f"with {WORKS} select id from works where id in ('W000001', 'W000002', 'W000004') or not (lower(priority) = '1-urgent' or id in ('W000001', 'W000002', 'W000004', 'W000005'))")
+def query_collection(spark, folder):
+    """A collection among other conditions, and its complement."""
+    rows = [("mine", "works", f"W00000{k}") for k in (1, 2, 4)] + [("other", "works", f"W00000{k}") for k in (1, 2, 4, 5)]
+    collections = spark.createDataFrame(rows, "collection_id string, entity_type string, entity_id string")
+    member = lambda name, negated: {"column_id": "id", "operator": "in collection", "value": name, "is_negated": negated}
+    rest = {"join": "and", "filters": [{"column_id": "priority", "value": "1-urgent", "is_negated": True}, member("other", True)]}
+    return works_where(spark, folder, {"join": "or", "filters": [member("mine", False), rest]}, collections)
+
+
+@query("select count(*) as count from documents where list_contains(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), 'the') and lower(lang) = 'en'")
+def query_total(spark, folder):
+    return plans.total(spark, folder, {"get_rows": "documents", "search": "the", "filter_rows": [{"column_id": "lang", "value": "EN"}]})
+
+
+# Search texts.
+
+
+@query(f"""with {POSITIONS} select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id where a.w = 'of' and b.w = 'the'
+    and greatest(a.at, b.at - 1) - least(a.at, b.at - 1) <= 3""")
+def search_slop(spark, folder):
+    return search.search(scan(spark, folder, "documents"), ["text"], '"of the"~3').select("doc_id")
+
+
+@query(f"""with {POSITIONS} select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id where a.w = 'and' and b.w = 'that' and a.at <> b.at and abs(a.at - b.at) - 1 <= 4""")
+def search_near_text(spark, folder):
+    return search.search(scan(spark, folder, "documents"), ["text"], '"and"~4~"that"').select("doc_id")
+
+
+@query(f"with {TOKENS} select doc_id from toks where (list_contains(t, 'the') and list_contains(t, 'with') and not list_contains(t, 'for')) or list_contains(t, 'und')")
+def search_boolean_text(spark, folder):
+    return search.search(scan(spark, folder, "documents"), ["text"], "the AND with NOT for OR und").select("doc_id")
+
+
+@query(f"with {TOKENS} select doc_id from toks where list_contains(t, 'the') and len(list_filter(t, lambda x: levenshtein(x, 'whith') <= 1)) > 0 and regexp_matches(' ' || array_to_string(t, ' ') || ' ', ' tha[\\p{{L}}\\p{{N}}]* ')")
+def search_mixed_terms(spark, folder):
+    return search.search(scan(spark, folder, "documents"), ["text"], "the whith~1 tha*").select("doc_id")
+
+
+@query(f"with {FIELDS} select doc_id from ft where (list_contains(tt, 'the') or list_contains(bt, 'the')) and not (list_contains(tt, 'with') or list_contains(bt, 'with'))")
+def search_not_columns(spark, folder):
+    return search.search(two_fields(spark, folder), ["title", "body"], "the NOT with").select("doc_id")
+
+
+@query(f"""with {FIELDS}, three as (select doc_id, tt, list_filter(bt, lambda x: len(x) <= 4) as bt, list_filter(bt, lambda x: len(x) > 2) as ct from ft)
+    select doc_id, round(cast(greatest((case when list_contains(tt, 'of') and list_contains(tt, 'the') then 1.5 else 0 end) + (case when contains(' ' || array_to_string(tt, ' ') || ' ', ' of the ') then 3.0 else 0 end)
+        + (case when list_contains(bt, 'of') and list_contains(bt, 'the') then 0.3 else 0 end) + (case when contains(' ' || array_to_string(bt, ' ') || ' ', ' of the ') then 0.5 else 0 end)
+        + (case when list_contains(ct, 'of') and list_contains(ct, 'the') then 0.05 else 0 end) + (case when contains(' ' || array_to_string(ct, ' ') || ' ', ' of the ') then 0.1 else 0 end), 0.005) as double), 4) as score
+    from three where list_contains(list_concat(tt, bt, ct), 'of') and list_contains(list_concat(tt, bt, ct), 'the')""")
+def search_three_fields(spark, folder):
+    df = two_fields(spark, folder)
+    short, long = (F.array_join(F.filter(words.tokens(F.col("body")), f), " ") for f in (lambda x: F.length(x) <= 4, lambda x: F.length(x) > 2))
+    df = df.select("doc_id", "title", short.alias("body"), long.alias("full"))
+    return search.ranked(df, {"title": "primary", "body": "secondary", "full": "tertiary"}, "of the").select("doc_id", F.round("score", 4).alias("score"))
+
+
+# Pages, buckets, suggestions.
+
+
+@query("select conv_id, turn, role from conversations")
+def page_keyset_ties(spark, folder):
+    """All pages of a table whose order has many ties, united: every row once."""
+    df = scan(spark, folder, "conversations").select("conv_id", "turn", "role")
+    e, out, cursor, keys = catalog.entity("conversations"), None, "*", [("role", False)]
+    per_page = 1 + df.count() // 4
+    while cursor:
+        page = paging.keyset_page(df, keys, e.unique, cursor, per_page)
+        last = page.orderBy(*[F.desc(c) for c in ("role", "conv_id", "turn")]).select("role", "conv_id", "turn").first()
+        out = page if out is None else out.union(page)
+        cursor = paging.encoded(list(last)) if last is not None else None
+    return out
+
+
+@query("select 'https://example.org/' || key as key, cast(sum(count) as bigint) as count from (select lower(o_orderpriority) as key, count(*) as count from orders where o_orderkey % 2 = 0 group by 1 union all select lower(o_orderpriority), count(*) from orders where o_orderkey % 2 = 1 group by 1) where key like '1%' or key like '2%' group by 1")
+def group_keys_formatted(spark, folder):
+    """Keys in one spelling, as addresses, those of equal keys added, only some beginnings kept."""
+    buckets = groups.terms(works(spark, folder), "priority").withColumn("key", F.lower("key"))
+    return groups.addressed(groups.merged(groups.beginning(buckets, "1", "2")), "https://example.org/")
+
+
+@query("select count(distinct o_custkey) as groups_count from orders")
+def groups_count(spark, folder):
+    return groups.groups_count(scan(spark, folder, "orders"), "o_custkey")
+
+
+@query("select o_orderpriority as key, count(*) as count from orders where lower(o_orderpriority) like '%high%' group by 1 order by 2 desc, 1 limit 10")
+def suggest_filter_values(spark, folder):
+    return lookup.value_suggestions(scan(spark, folder, "orders"), "o_orderpriority", "hi")
+
+
+@query("select n_name as key, cast(count(*) as bigint) as count from customer join nation on n_nationkey = c_nationkey where contains(lower(n_name), 'nation_1') group by 1 order by 2 desc, 1 limit 10")
+def suggest_nations(spark, folder):
+    """Nations by name, those with most customers first."""
+    df = joins.with_names(scan(spark, folder, "customer"), "c_nationkey", scan(spark, folder, "nation"), "n_nationkey", "n_name", "nation")
+    return lookup.value_suggestions(df, "nation", "nation 1")
+
+
+@query("select n_name, round(sum(c_acctbal), 2) as total from customer join nation on n_nationkey = c_nationkey group by 1")
+def sum_per_nation(spark, folder):
+    """Sums by key, with names: a grouping that is kept as a table of its own."""
+    sums = groups.terms(scan(spark, folder, "customer"), "c_nationkey", metric=("sum", "c_acctbal"))
+    named = joins.with_names(sums, "key", scan(spark, folder, "nation"), "n_nationkey", "n_name", "n_name")
+    return named.select("n_name", F.round("sum_c_acctbal", 2).alias("total"))
+
+
+@query(f"with {Q0}, h as (select vec_id, {COSINE} as s from embeddings, q order by s desc, vec_id limit 10) select vec_id, round(s * case when vec_id % 5 <= 1 then 0.5 else 1 + ln(vec_id % 5) end, 5) as score from h")
+def knn_log_rescore(spark, folder):
+    hits = vectors.nearest(scan(spark, folder, "embeddings"), "vec_id", "embedding", first_vector(spark, folder)).withColumn("cited", F.col("vec_id") % 5)
+    return vectors.log_rescored(hits, "vec_id", "cited").select("vec_id", F.round("score", 5).alias("score"))

@@ -19,7 +19,8 @@ from tessera.operators.filters import QueryError, dotted, kind_of
 @dataclass(frozen=True)
 class Entity:
     name: str
-    unique: str
+    #: The column, or columns together, that no two rows share.
+    unique: str | tuple[str, ...]
     order: tuple[tuple[str, bool], ...] = ()
     #: Text columns by role: primary, secondary, tertiary.
     search: dict[str, str] = field(default_factory=dict)
@@ -27,6 +28,12 @@ class Entity:
     aliases: dict[str, str] = field(default_factory=dict)
     popularity: str | None = None
     name_column: str | None = None
+    #: Columns of codes in upper or lower case: values take that case, and the condition reaches the scan.
+    codes: dict[str, str] = field(default_factory=dict)
+    #: Order of a search's rows after the score.
+    search_order: tuple[tuple[str, bool], ...] = ()
+    #: Columns of ids in a public scheme, or of own ids (letters): values may be in any spelling.
+    schemes: dict[str, str] = field(default_factory=dict)
 
 
 ENTITIES = {
@@ -37,15 +44,15 @@ ENTITIES = {
         Entity("customer", "c_custkey", (("c_acctbal", True),), {"c_name": "primary"}, name_column="c_name"),
         Entity("supplier", "s_suppkey", (("s_acctbal", True),), {"s_name": "primary"}, name_column="s_name"),
         Entity("part", "p_partkey", (("p_retailprice", True),), {"p_name": "primary", "p_type": "secondary"}, name_column="p_name"),
-        Entity("orders", "o_orderkey", (("o_totalprice", True),), aliases={"status": "o_orderstatus", "price": "o_totalprice"}),
-        Entity("lineitem", "l_orderkey", (("l_linenumber", False),)),
+        Entity("orders", "o_orderkey", (("o_totalprice", True),), aliases={"status": "o_orderstatus", "price": "o_totalprice"}, codes={"o_orderstatus": "upper", "o_orderpriority": "upper"}),
+        Entity("lineitem", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), (("l_orderkey", False),), codes={"l_returnflag": "upper", "l_linestatus": "upper"}),
         Entity("events", "event_id", (("ts", True),)),
-        Entity("documents", "doc_id", (("n_chars", True),), {"text": "primary"}, popularity="n_chars"),
+        Entity("documents", "doc_id", (("n_chars", True),), {"text": "primary"}, popularity="n_chars", codes={"lang": "lower"}, search_order=(("n_chars", True),)),
         Entity("embeddings", "vec_id"),
         Entity("pages", "page_id"),
         Entity("benchmark", "item_id", search={"text": "primary"}),
         Entity("labels", "doc_id"),
-        Entity("conversations", "conv_id", (("turn", False),), {"text": "primary"}),
+        Entity("conversations", ("conv_id", "turn"), (("conv_id", False),), {"text": "primary"}),
     )
 }
 

@@ -25,8 +25,8 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
 
 
 def export_groups(buckets: DataFrame, path: str) -> None:
-    """Buckets as one csv file with a header; they are few."""
-    buckets.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """Buckets as csv files with a header, as many as Spark deals them to."""
+    buckets.write.mode("overwrite").csv(path, header=True)
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -48,12 +49,12 @@ def patchwork(r, n):
     return out
 
 
-@pytest.mark.parametrize(("most", "rows"), [(5_000, 2000), (3, 2000), (1, 3), (20, 3), (40, 5)])
-def test_repeats(spark, monkeypatch, most, rows):
+@pytest.mark.parametrize(("busy", "most", "rows"), [(10_000, 5_000, 2000), (10_000, 3, 2000), (3, 3, 2000), (1, 1, 3), (20, 2, 3)])
+def test_repeats(spark, monkeypatch, busy, most, rows):
     monkeypatch.setattr(repeats, "batch_bytes", lambda s: common.batch_bytes(s, rows))
-    docs = patchwork(random.Random(most), 100)
+    docs = patchwork(random.Random(busy + most), 100)
     df = spark.createDataFrame([(d, t.decode()) for d, t in docs], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeats(df, most=most).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeats(df, busy=busy, most=most).collect()}
     assert got == repeats_by_hand(docs)
 
 
@@ -64,8 +65,8 @@ def test_repeats_of_a_crowded_line(spark):
     sides = [bytes(r.choices(b"xyz ", k=40)) for _ in range(4)]
     docs = [(d, bytes(r.choices(b"klmnop ", k=r.randint(0, 60))) + r.choice([b"", *sides]) + line + r.choice([b"", *sides]) + bytes(r.choices(b"klmnop ", k=r.randint(0, 60)))) for d in range(150)]
     df = spark.createDataFrame([(d, t.decode()) for d, t in docs], "doc_id long, text string").repartition(3)
-    for most in (10, 2):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeats(df, most=most).collect()}
+    for busy, most in ((1_000, 10), (10, 2)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeats(df, busy=busy, most=most).collect()}
         assert got == repeats_by_hand(docs)
 
 
@@ -90,7 +91,7 @@ def test_repeats_of_odd_rows(spark):
 
 def test_marks_come_from_the_index(spark, monkeypatch):
     """Without the index stage nothing is removed."""
-    monkeypatch.setattr(repeats, "indexed", lambda rows: rows.sparkSession.createDataFrame([], repeats.SPANS))
+    monkeypatch.setattr(repeats, "indexed", lambda rows, most: rows.sparkSession.createDataFrame([], repeats.FOUND))
     df = spark.createDataFrame([(d, t.decode()) for d, t in patchwork(random.Random(5), 60)], "doc_id long, text string")
     assert repeats.repeats(df).agg(F.sum("n_removed")).first()[0] == 0
 
@@ -323,6 +324,69 @@ def test_quality_keeps_the_good(spark):
     assert quality.kept(documents(spark)).columns == documents(spark).columns
 
 
+def kept_by_hand(rows):
+    """rows (id, votes, failed): expectation-maximisation document by document."""
+    groups, at = [], 0
+    for f in quality.FAMILIES:
+        groups.append(slice(at, at + len(f)))
+        at += len(f)
+    fitted = [v for _, v, failed in rows if not failed]
+    weight, kinds = quality.PRIOR * len(fitted) + 10, range(len(groups) + 1)
+
+    def prior(c, k, g):
+        return np.prod([(quality.FAULT if c == k + 1 else quality.RIGHT)[x + 1] for x in g])
+
+    first = [quality.GOOD] + [(1 - quality.GOOD) / len(groups)] * len(groups)
+    share, table = first, [[lambda v, c=c, k=k: prior(c, k, v) for k in range(len(groups))] for c in kinds]
+
+    def classes(v):
+        p = [share[c] * math.prod(table[c][k](v[s]) for k, s in enumerate(groups)) for c in kinds]
+        return [x / sum(p) for x in p]
+
+    memo = lambda: {v: classes(v) for v in {*fitted}}
+    now = memo()
+    for _ in range(500):
+        new = []
+        for c in kinds:
+            total = sum(now[v][c] for v in fitted)
+            row = []
+            for k, s in enumerate(groups):
+                n = collections.Counter()
+                for v in fitted:
+                    n[v[s]] += now[v][c]
+                row.append(lambda v, n=n, total=total, c=c, k=k: (n[v] + weight * prior(c, k, v)) / (total + weight))
+            new.append(row)
+        share, table = [(sum(now[v][c] for v in fitted) + first[c] * weight) / (len(fitted) + weight) for c in kinds], new
+        before, now = now, memo()
+        if max(abs(now[v][0] - before[v][0]) for v in now) < 1e-12:
+            break
+    return {i for i, v, failed in rows if not failed and classes(v)[0] >= 0.5}
+
+
+def test_quality_verdicts_by_hand(spark):
+    """Documents with one bad vote and with several, judged by a plain version; a single vote can be overruled."""
+    r = random.Random(19)
+    texts = []
+    for k in range(160):
+        words = prose(r, r.randint(12, 120)).split()
+        if k % 9 == 0:
+            words = [w + r.choice(["***", "$$$"]) + " |" if r.random() < 0.6 else w for w in words]
+        if k % 7 == 0:
+            words = [w.upper() + "!" for w in words]
+        if k % 23 == 0:
+            words = [w + "!" for w in words]
+        if k % 40 == 1:
+            words += words[:6] * 2
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    judged = quality.judged(df)
+    rows = [(x.doc_id, tuple(x[len(judged.columns) :]), x.base_failed) for x in judged.select("*", *[v.alias(f"v_{k}") for k, v in quality.votes().items()]).collect()]
+    kept = {x.doc_id for x in judged.filter("kept").collect()}
+    assert kept == kept_by_hand(rows)
+    assert any(min(v) < 0 for i, v, _ in rows if i in kept)
+    assert any(min(v) < 0 for i, v, failed in rows if i not in kept and not failed)
+
+
 # Near-duplicates.
 
 

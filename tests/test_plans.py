@@ -62,8 +62,8 @@ def test_search_in_words(spark):
     assert ids("phon*") == [1, 2]
     assert ids('"smart phon*"') == [1]
     assert ids("phnes~1") == [1]
-    assert [r.id for r in search.near(df, "id", "text", ["smart", "phone"], 1).collect()] == [2]
-    assert search.near(df, "id", "text", ["smart", "phone"], 0).count() == 0
+    assert [r.id for r in search.near(df, "text", ["smart", "phone"], 1).collect()] == [2]
+    assert search.near(df, "text", ["smart", "phone"], 0).count() == 0
 
 
 def test_stream_of_events(spark, tmp_path):

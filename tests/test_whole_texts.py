@@ -1,4 +1,4 @@
-"""Queries over whole texts, past what their shorter forms read."""
+"""Queries over whole texts, however long."""
 
 from oracle import connect, duck_rows, spark_rows
 from tessera import queries
@@ -6,12 +6,12 @@ from tessera import queries
 
 def test_marks_past_the_200th_character(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 250 + "éüñ" * 500), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.text for r in queries.QUERIES["fold_marks_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in queries.QUERIES["fold_marks"](spark, str(tmp_path)).collect()}
     assert got == {1: "a" * 250 + "eun" * 500, 2: None, 3: ""}
 
 
 def test_positions_past_the_30th_word(spark, tmp_path):
     long = " ".join(f"w{k % 701}" for k in range(20_000))
     spark.createDataFrame([(1, long), (2, None), (3, " . "), (4, "a b a a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.text for r in queries.QUERIES["decode_positions_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in queries.QUERIES["decode_positions"](spark, str(tmp_path)).collect()}
     assert got == {1: long, 4: "a b a a"}
