@@ -47,15 +47,20 @@ class Block:
     order: int
     link_chars: int = 0
     holder: int = 0
+    #: The figure that the block is a caption of; the block's text between the media elements within it.
+    caption_of: int = 0
+    pieces: tuple[str, ...] = ()
 
 
 @dataclass
 class Media:
-    """A media element met on the page: its attributes and the block count before it."""
+    """A media element met on the page: its tag and attributes, the blocks before it, and whether it stands within the next one."""
 
+    tag: str
     attributes: dict[str, str]
     order: int
     figure: int
+    inside: bool
 
 
 @dataclass
@@ -119,6 +124,7 @@ def read(source: str) -> Page:
     made, at, buffer, links = 0, 0, [], 0
     figures: list[int] = []
     lower, last_end = "", {}
+    cuts: list[int] = []
 
     def flush() -> None:
         nonlocal buffer, links
@@ -126,11 +132,17 @@ def read(source: str) -> Page:
             text = SPACE.sub(" ", "".join(buffer)).strip()
             if text:
                 tag, flags, number = next(((t, f, n) for t, f, n, _ in reversed(stack) if t in BLOCK or not t), ("", 0, 0))
-                if tag == "figcaption" and figures:
-                    page.captions[figures[-1]] = text
+                figure = figures[-1] if figures and any(x[0] == "figcaption" for x in stack) else 0
+                if figure:
+                    page.captions[figure] = f"{page.captions[figure]} {text}" if figure in page.captions else text
                 parent = next((n for t, _, n, _ in reversed(stack[:-1]) if t in BLOCK or not t), 0) if len(stack) > 1 else 0
-                page.blocks.append(Block(text, tag, flags & ~LINK, parent, len(page.blocks), links, number))
+                page.blocks.append(Block(text, tag, flags & ~LINK, parent, len(page.blocks), links, number, figure, pieces()))
             buffer, links = [], 0
+            cuts.clear()
+
+    def pieces() -> tuple[str, ...]:
+        ends = [0, *cuts, len(buffer)]
+        return tuple(SPACE.sub(" ", "".join(buffer[a:b])).strip() for a, b in zip(ends, ends[1:], strict=False)) if cuts else ()
 
     def closed(tag: str, at: int) -> bool:
         """Whether an element with skipped content that begins here has an end; a form control has it before the next one."""
@@ -181,7 +193,10 @@ def read(source: str) -> Page:
                 write(" ")
             continue
         if tag in ("img", "source", "video", "audio"):
-            page.media.append(Media(attributes(rest), len(page.blocks) + bool("".join(buffer).strip()), figures[-1] if figures else 0))
+            inside = any(not x.isspace() for x in buffer)
+            page.media.append(Media(tag, attributes(rest), len(page.blocks), figures[-1] if figures else 0, inside))
+            if inside:
+                cuts.append(len(buffer))
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
         if tag in BLOCK and tag not in ("html", "body"):

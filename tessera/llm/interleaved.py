@@ -1,13 +1,15 @@
 """Interleaved document sequences: ordered text and media references of HTML pages, with the payloads resolved.
 
-A page is read into a sequence of parts, text blocks and media references in page order; a reference names its payload
-by digest (``media:<sha256>``) and carries its caption, so positions and captions stay aligned. A join on the digest
-resolves payloads; references to the same payload share one stored row, and the join may be split by its keys' skew.
+A page is read into a sequence of parts, text blocks and media references in page order; a block is split where a media
+element stands within it. A reference has its source and caption, so positions and captions stay aligned, and names a
+stored payload by digest (``media:<sha256>``); other sources have no digest. A caption that no reference takes is text. A
+join on the digest resolves payloads; references to the same payload share one stored row.
 
 A payload is stored losslessly as 8-bit samples, a grey image of ``WIDTH`` samples a row (portable graymap): its bytes,
-padded with 0 to full rows. ``stored`` writes it, ``samples`` reads it back, and features are computed from what was
-read. A null or empty text is a payload of one row of zeros. Equal texts have equal values. Repeated rows each get
-their parts; a page without parts gives none; a reference without a stored payload keeps null payload columns.
+padded with 0 to full rows. ``media_store`` writes a table with the stored form of each, ``figures`` reads that table
+and computes features from what it finds there. A null or empty text is a payload of one row of zeros. Equal texts have
+equal values. Repeated rows each get their parts; a page without parts gives none; a reference without a stored payload
+keeps null payload columns. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,17 @@ from tessera.llm.html_blocks import read
 
 WIDTH = 64
 SCHEME = "media:"
-STORED = "digest string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, media binary"
-PARTS = "page bigint, position int, kind string, text string, digest string, caption string"
+STORE = "digest string, n_bytes bigint, media binary"
+FIGURES = "digest string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+PARTS = "page {page}, position int, kind string, text string, digest string, src string, caption string"
+
+
+def batch(rows: list[tuple], schema: str, first: pa.DataType | None = None) -> pa.RecordBatch:
+    """Rows as a batch of this schema; first: the type of its first column, if it is another's."""
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*[c.split() for c in schema.split(", ")], strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, first if first is not None and not k else kinds[types[k]]) for k, c in enumerate(columns)], list(names))
 
 
 def padded(raw: bytes) -> bytes:
@@ -65,63 +76,86 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
-def media_store(docs: DataFrame, text: str = "text", keep_media: bool = False) -> DataFrame:
-    """One row per payload: its digest, figures and feature as read back, and the stored form if it is to be kept."""
+def media_store(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A written table of payloads, a row each: digest, n_bytes before padding, media (the stored form)."""
     batch_bytes(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = [t.encode() for t in b.column(1).to_pylist()]
+            yield batch([(d, len(raw), stored(padded(raw))) for d, raw in zip(b.column(0).to_pylist(), raws, strict=True)], STORE)
+
+    texts = docs.select(digest(F.col(text)).alias("digest"), F.coalesce(text, F.lit("")).alias("text")).dropDuplicates(["digest"])
+    return spool(texts.mapInArrow(run, STORE))
+
+
+def figures(store: DataFrame) -> DataFrame:
+    """Sizes, digests and feature of each payload, from its stored form as read back."""
+    batch_bytes(store.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for x in b.column(0):
-                raw = (x.as_py() or "").encode()
-                media = stored(padded(raw))
+            for d, n, media in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 back = samples(media)
                 payload = back.tobytes()
-                rows.append((hashlib.sha256(raw).hexdigest(), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(back), media if keep_media else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, KINDS, strict=True)], NAMES)
+                rows.append((d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)))
+            yield batch(rows, FIGURES)
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, STORED)
-    if keep_media:
-        return rows.dropDuplicates(["digest"])
     # A table of its own, so that a later join on digests may be split where one is frequent.
-    return spool(rows.drop("media").dropDuplicates(["digest"]))
-
-
-NAMES = [c.split()[0] for c in STORED.split(", ")]
-KINDS = [{"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in STORED.split(", ")]
+    return spool(store.select("digest", "n_bytes", "media").mapInArrow(run, FIGURES))
 
 
-def parts(source: str | None) -> list[tuple[int, str, str | None, str | None, str | None]]:
-    """The page's parts: position, kind (text or media), text, digest, caption (else the alternative text)."""
+def parts(source: str | None) -> list[tuple[int, str, str | None, str | None, str | None, str | None]]:
+    """The page's parts: position, kind (text or media), text, digest, src, caption (else the alternative text)."""
     page = read(source or "")
     out: list[tuple] = []
-    media = iter(sorted(page.media, key=lambda m: m.order))
-    following = next(media, None)
+    media = [m for m in page.media if m.attributes.get("src")]
+    taken = {m.figure for m in media if m.figure}
+    at = 0
+
+    def reference() -> None:
+        nonlocal at
+        m = media[at]
+        src = m.attributes["src"]
+        out.append(("media", None, src.removeprefix(SCHEME) if src.startswith(SCHEME) else None, src, page.captions.get(m.figure) or m.attributes.get("alt")))
+        at += 1
+
+    # Elements without a source split a block, too, but are no parts.
+    sourced = {}
+    for m in page.media:
+        sourced.setdefault((m.order, m.inside), []).append(bool(m.attributes.get("src")))
     for i in range(len(page.blocks) + 1):
-        while following and following.order <= i:
-            src = following.attributes.get("src", "")
-            if src.startswith(SCHEME):
-                out.append(("media", None, src.removeprefix(SCHEME), page.captions.get(following.figure) or following.attributes.get("alt")))
-            following = next(media, None)
-        if i < len(page.blocks) and page.blocks[i].tag != "figcaption":
-            out.append(("text", page.blocks[i].text, None, None))
+        for here in sourced.get((i, False), ()):
+            if here:
+                reference()
+        if i == len(page.blocks):
+            break
+        b = page.blocks[i]
+        text = b.caption_of not in taken
+        inner = sourced.get((i, True), ())
+        for k, piece in enumerate(b.pieces or (b.text,)):
+            if piece and text:
+                out.append(("text", piece, None, None, None))
+            if k < len(inner) and inner[k]:
+                reference()
     return [(k, *x) for k, x in enumerate(out)]
 
 
-def sequences(pages: DataFrame, store: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """Parts of all pages, a row each, with the columns of store where a reference is resolved."""
+def sequences(pages: DataFrame, payloads: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """Parts of all pages, a row each, with the columns of payloads (by its digest) where a reference is resolved."""
     batch_bytes(pages.sparkSession)
+    schema = PARTS.format(page=pages.schema[page_id].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *x) for i, source in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in parts(source.as_py())]
-            kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], [c.split()[0] for c in PARTS.split(", ")])
+            yield batch([(i, *x) for i, source in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in parts(source.as_py())], schema, b.column(0).type)
 
-    found = pages.select(F.col(page_id).cast("long").alias("page"), F.col(html).alias("html")).mapInArrow(run, PARTS)
-    return found.join(store.withColumnRenamed("digest", "store_digest"), F.col("digest") == F.col("store_digest"), "left").drop("store_digest").withColumnRenamed("page", page_id)
+    found = pages.select(F.col(page_id).alias("page"), F.col(html).alias("html")).mapInArrow(run, schema)
+    return found.join(payloads.withColumnRenamed("digest", "store_digest"), F.col("digest") == F.col("store_digest"), "left").drop("store_digest").withColumnRenamed("page", page_id)
 
 
 def as_page(doc_id: Column, text: Column) -> Column:
-    """A page that refers to the text's payload, for a table of texts without pages."""
-    return F.concat(F.lit('<figure><img src="media:'), digest(text), F.lit('"><figcaption>document '), F.coalesce(doc_id.cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
+    """A page that names a document and refers to its text's payload, for a table of texts without pages."""
+    name = F.concat(F.lit("document "), F.coalesce(doc_id.cast("string"), F.lit("?")))
+    return F.concat(F.lit("<p>"), name, F.lit('</p><figure><img src="media:'), digest(text), F.lit('"><figcaption>'), name, F.lit("</figcaption></figure>"))

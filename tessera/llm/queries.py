@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import interleaved, main_text, mixing, near_duplicates, packing, pseudonyms, quality, repeats, token_count, url_filter
-from tessera.llm.common import table
+from tessera.llm.common import scratch, table
 
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
+#: Key of the registered query and of the pipeline, which have to run anywhere; a deployment sets TESSERA_KEY.
+KEY = os.environ.get("TESSERA_KEY") or "no secret: for tests and examples"
 
 
 def vocabulary(name: str) -> str:
@@ -57,15 +59,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key=KEY)
 
 
 def op10_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pages = docs.select("doc_id", interleaved.as_page(F.col("doc_id"), F.col("text")).alias("html"))
-    store = interleaved.media_store(docs)
-    out = interleaved.sequences(pages, store, "doc_id")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    with scratch() as held:
+        payloads = interleaved.figures(interleaved.media_store(docs))
+        out = interleaved.sequences(pages, payloads, "doc_id").filter("kind = 'media'")
+        return held.keep(out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_url_filter, op3_mixing, op4_packing, op5_main_text, op6_quality, op7_near_duplicates, op8_token_counts, op9_pseudonyms, op10_interleaved)}
