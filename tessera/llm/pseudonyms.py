@@ -4,13 +4,14 @@ One pattern finds e-mail addresses, telephone numbers, dates, social security nu
 access tokens. A number or date that passes its test (Luhn digit, octets, calendar, number ranges) is permuted within
 its format by a keyed Feistel network: the value is a pair of numbers below a and b, each round adds a keyed digest of
 one to the other modulo its size, so the map is one to one on a * b values, with nothing left over. A card keeps its
-length, separators and a right Luhn digit, a date its notation and a real day, an address four octets, a telephone
-number its country code and punctuation. Equal values of a kind get equal pseudonyms in every document, however they
-are punctuated. The local part of an e-mail address and an access token, which have no number format, become keyed
+length, separators and a right Luhn digit, a date its notation and a real day, an address four octets, a social
+security number its validity, a telephone number its country code, its punctuation and, of ten digits in North America,
+whether area and exchange are ones that are given out. Equal values of a kind get equal pseudonyms in every document,
+however they are punctuated. The local part of an e-mail address and an access token, which have no number format, become keyed
 digests of the same form. What fails its test stays as it is, as do null and empty texts.
 
 Texts of any length are treated whole, within their row, without a shuffle; only functions of the JVM are used. An
-empty table gives no rows; repeated rows get the same result.
+empty table gives no rows; repeated rows get the same result. The key is a secret; there is no key by default.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_name
+
 ROUNDS = 10
 #: Dates from FIRST_DAY on, DAYS of them (1900-01-01 to 2099-11-12), as pairs below these.
 FIRST_DAY, DAY_PAIR = "1900-01-01", (250, 292)
@@ -29,11 +32,12 @@ FIRST_DAY, DAY_PAIR = "1900-01-01", (250, 292)
 # The kinds' forms.
 SECRET = r"""(?i:(?<![\p{L}\p{N}_])(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9_\-/+]{16,}+|(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_|sk-)[A-Za-z0-9]{16,}+"""
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++"
-PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?![\d])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}([.\-])\d{3}\1\d{4}(?![\d\-])"
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+PHONE = r"(?<![\p{L}\p{N}+])\+\d{2,3}[ .\-]\d(?:[ .\-]\d{2}){4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?![\d])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}([.\-])\d{3}\1\d{4}(?![\d\-])"
 DATE = r"(?<![\d.\-/])\d{4}([\-/.])\d{2}\2\d{2}(?![\d\-/])|(?<![\d.\-/])\d{2}([\-/.])\d{2}\3\d{4}(?![\d\-/])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
-CARD = r"(?<!\d)(?<!\d[ \-])\d{4}([ \-])\d{4}\4\d{4}\4\d{1,7}(?![ \-]?\d)|(?<!\d)\d{13,19}(?!\d)"
+CARD = r"(?<!\d)(?<!\d[ \-])\d{4}([ \-])\d{4}\4\d{4}\4\d{1,7}(?![ \-]?\d)|(?<!\d)(?<!\d[ \-])(?:\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?![ \-]?\d)|(?<!\d)\d{13,19}(?!\d)"
 ANY = "|".join((SECRET, EMAIL, PHONE, DATE, SSN, IPV4, CARD))
 #: Every form has one of these; texts without them, most of prose, are not searched further.
 SIGNS = r"[0-9@=:_]|AKIA|ASIA|sk-"
@@ -132,19 +136,54 @@ def as_date(m: Column, key: str) -> Column:
     return let(F.split(m, r"[\-/.]"), body)
 
 
+def div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
+def number(digits: Column, begin: int, length: int) -> Column:
+    return F.substring(digits, begin, length).cast("long")
+
+
+def longs(*values: int) -> list[Column]:
+    return [F.lit(v).cast("long") for v in values]
+
+
+def north_american(d: Column, key: str) -> Column:
+    """Ten digits: area, exchange, line. Numbers whose area and exchange begin with 2 to 9 stay such, others do, too."""
+    area, exchange, line = number(d, 1, 3), number(d, 4, 3), number(d, 7, 4)
+    inside = ((area - 200) * 800 + exchange - 200) * 10_000 + line
+    back = lambda v: (div(v, 8_000_000) + 200) * 10_000_000 + (div(v, 10_000) % 800 + 200) * 10_000 + v % 10_000
+    low = 200 * 10_000_000
+    outside = F.when(area < 200, d.cast("long")).otherwise(low + ((area - 200) * 200 + exchange) * 10_000 + line)
+    high = lambda w: (div(w, 2_000_000) + 200) * 10_000_000 + div(w, 10_000) % 200 * 10_000 + w % 10_000
+    given = let(permuted(inside, *longs(640_000, 10_000), key, "phone given"), back)
+    other = let(permuted(outside, *longs(60_000, 60_000), key, "phone other"), lambda v: F.when(v < low, v).otherwise(high(v - low)))
+    return F.lpad(F.when((area >= 200) & (exchange >= 200), given).otherwise(other).cast("string"), 10, "0")
+
+
 def as_phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])|^\+\d", 0)
+    country = F.regexp_extract(m, COUNTRY, 0)
 
     def body(rest: Column) -> Column:
-        new = let(digits_of(rest), lambda d: F.when(F.length(d).between(7, 14), filled(rest, permuted_digits(d, key, "phone"))))
+        ten = country.isin("", "+1")
+        new = let(digits_of(rest), lambda d: F.when(ten & (F.length(d) == 10), filled(rest, north_american(d, key))).when(F.length(d).between(7, 14), filled(rest, permuted_digits(d, key, "phone"))))
         return F.concat(country, new)
 
     return let(F.substring(m, F.length(country) + 1, F.length(m)), body)
 
 
 def as_ssn(m: Column, key: str) -> Column:
+    """Valid numbers are 898 areas (001 to 899 without 666), 99 groups and 9999 serials, and stay valid."""
     valid = ~m.rlike(r"^(?:000|666|9)") & ~m.rlike(r"-00-") & ~m.rlike(r"-0000$")
-    return F.when(valid, let(digits_of(m), lambda d: filled(m, permuted_digits(d, key, "ssn"))))
+
+    def body(d: Column) -> Column:
+        area = number(d, 1, 3)
+        value = ((F.when(area < 666, area - 1).otherwise(area - 2)) * 99 + number(d, 4, 2) - 1) * 9_999 + number(d, 6, 4) - 1
+        a = lambda v: div(v, 99 * 9_999)
+        text = lambda v: F.concat(F.lpad((a(v) + F.when(a(v) < 665, 1).otherwise(2)).cast("string"), 3, "0"), F.lpad((div(v, 9_999) % 99 + 1).cast("string"), 2, "0"), F.lpad((v % 9_999 + 1).cast("string"), 4, "0"))
+        return filled(m, let(permuted(value, *longs(898 * 99, 9_999), key, "ssn"), text))
+
+    return F.when(valid, let(digits_of(m), body))
 
 
 def as_email(m: Column, key: str) -> Column:
@@ -180,9 +219,12 @@ def replaced(m: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, text: str = "text", key: str | None = None, counts: str | None = "n_private") -> DataFrame:
     """docs with the text's personal data replaced, and a column of the number of replaced values, if it is named.
 
-    The key is a secret; it comes from TESSERA_KEY where none is given.
+    The key comes from TESSERA_KEY where none is given; without one the operator refuses. Columns of other names stay;
+    one of the name of counts is replaced.
     """
-    key = key if key is not None else os.environ.get("TESSERA_KEY", "set TESSERA_KEY")
+    key = key or os.environ.get("TESSERA_KEY")
+    if not key:
+        raise ValueError("pseudonyms need a secret key: give one, or set TESSERA_KEY")
     t = F.col(text)
     found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
     made = F.transform(found, lambda m: F.coalesce(replaced(m, key), F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))))
@@ -192,9 +234,10 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str | None = None, c
         joined = F.array_join(F.zip_with(p["gaps"], p["made"], lambda g, m: F.concat(g, F.coalesce(m["text"], F.lit("")))), "")
         return F.struct(joined.alias("text"), F.size(F.filter(p["made"], lambda m: m["kind"].isNotNull())).cast("long").alias("n"))
 
-    name = next(x for x in ("made", "_made", "__made") if x not in docs.columns)
+    name = free_name(docs, "made")
     out = docs.withColumn(name, let(parts, lambda p: F.when(p.isNotNull(), whole(p))))
     out = out.withColumn(text, F.coalesce(F.col(name)["text"], t))
     if counts:
+        out = out.drop(*[c for c in docs.columns if c.lower() == counts.lower()])
         out = out.withColumn(counts, F.coalesce(F.col(name)["n"], F.lit(0)).cast("long"))
     return out.drop(name)

@@ -13,7 +13,7 @@ from tessera.llm import near_duplicates as near
 from tessera.llm import packing as packs
 from tessera.llm import pseudonyms as names
 from tessera.llm import quality
-from tessera.llm.queries import vocabulary
+from tessera.llm.queries import KEY, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by pseudonyms; n_chars follows the text, if there is such a column."""
-    out = names.pseudonymised(docs, counts=None)
+    out = names.pseudonymised(docs, key=KEY, counts=None)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
