@@ -7,7 +7,8 @@ identifiers are made.
 
 No piece of the vocabulary has a space mark after another character (this is tested when it is loaded, and a
 vocabulary with such pieces is merged over whole texts), so a text falls into chunks, each marks and what follows, that
-no merge joins. A worker keeps the counts of the chunks it has met, up to ``CACHE`` of them.
+no merge joins. A worker keeps the counts of the chunks it has met, up to ``CACHE_BYTES`` and none longer than
+``LONGEST``. A model that normalizes its text is refused.
 
 Null and empty texts count 0. Special strings in a text are ordinary text, as the library's default has it. Texts of
 any length are counted whole; a batch of rows is all that a task holds.
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batch_bytes
 
 MARK = "▁"
-CACHE = 1_000_000
+#: Bytes of chunks that a worker keeps, with so many for each entry itself; characters of the longest.
+CACHE_BYTES, ENTRY, LONGEST = 192 << 20, 180, 64
+#: Text that normalizers change.
+ODD = " a  \u00c5\u212b ｆｉ ﬁe\u0301 B  "
 
 
 class Merger:
@@ -36,11 +40,14 @@ class Merger:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if sp.normalize(ODD) != MARK + ODD.replace(" ", MARK):
+            raise ValueError("the model normalizes its text, which is not counted here")
         normal = [i for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in normal}
         self.bytes = any(sp.is_byte(i) for i in range(sp.get_piece_size()))
         self.chunked = not any(a != MARK and b == MARK for p in self.rank for a, b in zip(p, p[1:], strict=False))
         self.seen: dict[str, int] = {}
+        self.room = CACHE_BYTES
 
     def symbols(self, chunk: str) -> int:
         """Tokens of the characters by themselves; what is no piece counts as its bytes."""
@@ -71,7 +78,11 @@ class Merger:
 
     def of_chunk(self, chunk: str) -> int:
         n = self.symbols(chunk) - self.merges(chunk)
-        if len(self.seen) < CACHE:
+        if len(chunk) <= LONGEST:
+            self.room -= 2 * len(chunk) + ENTRY
+            if self.room < 0:
+                self.seen.clear()
+                self.room = CACHE_BYTES
             self.seen[chunk] = n
         return n
 
