@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,6 +80,11 @@ def scratch() -> Iterator[Scratch]:
             remove(block.results[0].sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """After a step with a large shuffle: Spark removes the shuffle files of finished jobs once the driver has collected them."""
+    spark._jvm.java.lang.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a spooled table."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -110,7 +114,3 @@ def uniform(*parts: Column | str) -> Column:
     """A double in (0, 1) that depends on the parts only; MD5, so that other engines can repeat it."""
     text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
-
-
-def sha256(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, batch_bytes, free_name, scratch, small, spool
+from tessera.llm.common import WORD, batch_bytes, free_name, release, scratch, small, spool
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -331,6 +331,7 @@ def text_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
         rows = spool(banded(docs, doc_id, text))
         out = rows.select("id", "digest"), classed(docs, rows, text)
         held.keep(*out)
+    release(docs.sparkSession)
     return out
 
 
@@ -343,6 +344,7 @@ def classed(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     members = spool(members.drop("n").join(weight, "id"))
     sets = spool(weighted_sets(docs, spool(members.select("id").distinct()), text))
+    release(docs.sparkSession)
     edges = tried = labels = hubs = None
     for round_ in range(LEADERS):
         now = labelled(members, labels)
