@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch_bytes, scratch, small, spool
+from tessera.llm.common import batch_bytes, release, scratch, small, spool
 
 LENGTH = 100
 SEED = 44
@@ -585,6 +585,7 @@ def spans_of(texts: DataFrame, busy_from: int, most: int) -> tuple[DataFrame, Da
     """texts with their bytes if they have anchors of repeated seeds, else with the digest of all; and spans per document."""
     with scratch() as held:
         found = spool(repeated(anchor_rows(texts), busy_from))
+        release(texts.sparkSession)
         busy = spool(found.filter("kind = 3").select("seed").distinct())
         anchors_ = found.filter("kind = 1").drop("kind")
         any_busy = not busy.isEmpty()
@@ -595,9 +596,11 @@ def spans_of(texts: DataFrame, busy_from: int, most: int) -> tuple[DataFrame, Da
         free = F.col("places").isNull()
         both = spool(rows.select("id", "doc", "sub", F.length("bytes").cast("long").alias("n_bytes"), F.when(free, F.sha2("bytes", 256)).alias("sha"), F.when(~free, F.col("bytes")).alias("bytes"), "places"))
         held.keep(both)
+    release(texts.sparkSession)
     with scratch() as held:
         part = lambda busy: segments(both.filter("bytes is not null").withColumn("places", F.filter("places", lambda p: p["busy"].isNotNull() == F.lit(busy))).filter("size(places) > 0"))
         found = spool(indexed(part(False), most))
+        release(texts.sparkSession)
         spans, left = [spans_in(found)], segments_in(found)
         if any_busy or not left.isEmpty():
             calm, on_the_way = dealt_out(left.unionByName(part(True)) if any_busy else left, most)
@@ -607,6 +610,7 @@ def spans_of(texts: DataFrame, busy_from: int, most: int) -> tuple[DataFrame, Da
             marks = marks.unionByName(x)
         marks = spool(marks.groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
         held.keep(marks)
+    release(texts.sparkSession)
     return both, marks
 
 
