@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.spool import shared_folder
+
 #: A word, in the form that all contracts use.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table that may be broadcast after they were counted.
@@ -22,19 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new one where it is unset and all run on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return folder or own_folder()
-
-
-@cache
-def own_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-
-
 #: Folders written within the innermost ``scratch`` block, per thread.
 HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
 

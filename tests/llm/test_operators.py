@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cases import LONG, documents, empty, prose
@@ -199,6 +201,64 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def copies_by_hand(rows, cap=3, lean=0.25):
+    """rows (id, text, source): copies of each, by the whole method over sorted lists."""
+
+    def number(i, t):
+        digest = xxhash.xxh64_intdigest((t or "").encode(), 42) if t is not None else 42
+        text = f"mix|{'null' if i is None else i}|{digest - (1 << 64) if digest >> 63 else digest}"
+        return (int(hashlib.md5(text.encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+
+    docs = [(k, len(re.findall(r"[^ \t-\r]+", t or "")), number(i, t), s) for k, (i, t, s) in enumerate(rows)]
+    sizes = {s: sum(d[1] for d in docs if d[3] == s) for s in {d[3] for d in docs}}
+    out = [0] * len(rows)
+    for s, target in targets_by_hand(sizes, cap).items():
+        own = [d for d in docs if d[3] == s]
+        whole = min(cap, int(target / sizes[s] + 1e-12)) if sizes[s] else 0
+        left, mean = max(0.0, target - whole * sizes[s]), sizes[s] / len(own)
+        w = lambda n: (mean / 2 ** ((math.floor(math.log2(n) * mixing.CLASSES) + 0.5) / mixing.CLASSES)) ** lean
+        p = lambda c, n: c * w(n) / (1 + c * w(n))
+        low, high = -60.0, 60.0
+        for _ in range(mixing.STEPS):
+            half = (low + high) / 2
+            low, high = (low, half) if sum(d[1] * p(2**half, d[1]) for d in own if d[1]) > left else (half, high)
+        sampled = round(sum(p(2**low, d[1]) for d in own if d[1])) if left > 0 else 0
+        rank = {d[0]: d[2] / (1 - d[2]) / w(max(1, d[1])) if sizes[s] else 0 for d in own}
+        n = dict.fromkeys(rank, 0)
+        for k in range(1 + mixing.FILLS + mixing.REFILLS):
+            may = [d for d in own if 0 < d[1] <= left and (n[d[0]] == 0 if k <= mixing.FILLS else whole + n[d[0]] < cap)]
+            words = count = 0
+            for _, peers in itertools.groupby(sorted(may, key=lambda d: rank[d[0]]), key=lambda d: rank[d[0]]):
+                peers = list(peers)
+                if words + sum(d[1] for d in peers) > left or (not k and count + len(peers) > sampled):
+                    break
+                words, count = words + sum(d[1] for d in peers), count + len(peers)
+                for d in peers:
+                    n[d[0]] += 1
+            left -= words
+        for d in own:
+            out[d[0]] = whole + n[d[0]]
+    return out
+
+
+@pytest.mark.parametrize("per_slice", [1, 40, 10_000])
+def test_mixing_by_hand(spark, monkeypatch, per_slice):
+    """The whole selection, with null ids and texts, repeated rows and clashing columns, in any order of rows."""
+    monkeypatch.setattr(mixing, "PER_SLICE", per_slice)
+    r = random.Random(31)
+    rows = [(None if k % 37 == 0 else k % 350, None if k % 29 == 0 else "w " * int(r.paretovariate(1.1) * 4) + str(k % 300), r.choice(["a"] * 6 + ["b", "c", None, "d"])) for k in range(400)]
+    rows += rows[:5] + [(900, "", "e"), (901, None, "e")]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "row_ int, doc_id long, text string, source string")
+    for c in ("row", "size", "u", "rank", "whole", "passes", "Copies"):
+        df = df.withColumn(c, F.lit("mine"))
+    want = copies_by_hand(rows)
+    got = collections.Counter(x.row_ for x in mixing.mixed(df.repartition(5)).collect())
+    assert [got[k] for k in range(len(rows))] == want
+    assert mixing.mixed(df).columns == df.columns
+    by_id = sorted(((x.doc_id, x.size, x.copies) for x in mixing.mix(df.orderBy(F.rand(1))).collect()), key=str)
+    assert by_id == sorted(((i, len((t or "").split()), n) for (i, t, _), n in zip(rows, want, strict=True)), key=str)
+
+
 def test_mixing_prefers_high_inclusion_odds(spark):
     df = spark.createDataFrame([(i, "w " * (5 if i % 2 else 500), s) for i in range(2000) for s in ["a"]] + [(9999, "w " * 300_000, "b")], "doc_id long, text string, source string")
     got = mixing.mix(df, share=0.5, cap=1, weights=(1, 9)).filter("doc_id < 9999").collect()
