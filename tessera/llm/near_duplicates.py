@@ -8,9 +8,8 @@ their documents (for equal weights, the Jaccard similarity). Documents that agre
 candidates; at a similarity of 0.8 a pair escapes all bands with probability 7e-6.
 
 Equal texts are joined first, by digest, and only one of them goes on, so copies make no pairs. Within a band's bucket
-no pairs are enumerated: all members are compared with its hub, the member that shares most with others, and then, where
-the members are not yet one class, with further leaders, ``LEADERS`` in all. So a round makes at most as many pairs as
-there are members. These rounds only shorten what follows.
+no pairs are enumerated: all members are compared with its hub, the member that shares most with others, which makes at
+most as many pairs as there are members.
 
 *Closing.* What is left to find in a bucket are pairs x, y of different classes. Either they share a shingle that the
 hub lacks, or their common shingles are the hub's: at most k of them, k being the lesser number that one of the two has
@@ -45,7 +44,6 @@ from tessera.llm.common import WORD, batch_bytes, free_name, release, scratch, s
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 30
-LEADERS = 2
 #: Two similar texts have shares u, v of their weights in common with 1 / u + 1 / v at most this.
 SHARES = 1 + 1 / SIMILARITY
 #: A block of an open bucket: members, and bytes of their hashes and weights.
@@ -345,36 +343,19 @@ def classed(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     members = spool(members.drop("n").join(weight, "id"))
     sets = spool(weighted_sets(docs, spool(members.select("id").distinct()), text))
     release(docs.sparkSession)
-    edges = tried = labels = hubs = None
-    for round_ in range(LEADERS):
-        now = labelled(members, labels)
-        rank = F.col("weight") if not round_ else F.xxhash64(F.lit(round_), F.col("label"), F.col("id"))
-        best = F.max_by(F.struct("id", "label"), F.struct(rank.alias("rank"), "id")).alias("best")
-        leaders = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), best)
-        leaders = leaders.filter("low != high").select("bucket", F.col("best.id").alias("leader"), F.col("best.label").alias("of"))
-        if hubs is None:
-            leaders = hubs = spool(leaders)
-        pairs = now.join(leaders, "bucket").filter(F.col("label") != F.col("of"))
-        pairs = pairs.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = spool(pairs)
-        if pairs.isEmpty():
-            break
-        found = spool(similar(pairs, sets))
-        tried = pairs if tried is None else tried.union(pairs)
-        if found.isEmpty():
-            break
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+    best = F.max_by("id", F.struct("weight", "id")).alias("hub")
+    hubs = spool(members.groupBy("bucket").agg(best))
+    pairs = members.join(hubs, "bucket").filter("id != hub")
+    edges = spool(similar(spool(pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()), sets))
+    labels = None if edges.isEmpty() else components(edges)
     now = labelled(members, labels).select("id", "bucket", "label")
     # Buckets of two members were settled by their hub.
     left = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2")
-    groups = spool(now.join(left.select("bucket"), "bucket").join(hubs.select("bucket", F.col("leader").alias("hub")), "bucket").select("hub", "id", "label").distinct())
+    groups = spool(now.join(left.select("bucket"), "bucket").join(hubs, "bucket").select("hub", "id", "label").distinct())
     if not groups.isEmpty():
         found = spool(finished(spool(meetings(spool(profiles(groups, sets)))), sets))
         if not found.isEmpty():
-            labels = components(found if edges is None else edges.union(found))
+            labels = components(edges.union(found))
     return spool(labelled(texts.select("id"), labels).withColumnRenamed("id", "digest"))
 
 
