@@ -16,10 +16,11 @@ PATTERNS = {
     "wikidata": (r"(Q\d+)$", "https://www.wikidata.org/wiki/"),
     "pmid": (r"(?i)^(?:pmid:|https?://pubmed\.ncbi\.nlm\.nih\.gov/)?\s*(\d{1,9})/?$", "https://pubmed.ncbi.nlm.nih.gov/"),
     "pmcid": (r"(?i)(?:^|pmcid:|PMC|articles/PMC)\s*(\d+)/?$", "https://www.ncbi.nlm.nih.gov/pmc/articles/"),
+    "slug": (r"([^/\s]+)/?$", ""),
     "scopus": (r"(?:authorID=|scopus:|^)(\d{8,})", ""),
 }
 UPPER = ("orcid", "issn", "wikidata")
-LOWER = ("doi", "ror")
+LOWER = ("doi", "ror", "slug")
 
 
 def identifier(kind: str, text: Column) -> Column:

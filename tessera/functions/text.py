@@ -210,3 +210,15 @@ def fragments(text: Column, wanted: list[str], size: int = 300, most: int = 5) -
     half = size // 2
     found = F.regexp_extract_all(text, F.lit(rf"(?is).{{0,{half}}}(?<![\p{{L}}\p{{N}}])(?:{either})(?![\p{{L}}\p{{N}}]).{{0,{half}}}"), F.lit(0))
     return F.transform(F.slice(found, 1, most), lambda x: highlighted(F.trim(x), wanted))
+
+
+def years_in(text: str) -> tuple[int, int] | None:
+    """The range of years that a search text ends in, as in ``rivers 1999-2004``; None where there is none."""
+    found = re.search(r"(?:^|\s)(1[0-9]{3}|20[0-9]{2})\s*[-\u2013]\s*(1[0-9]{3}|20[0-9]{2})\s*$", text)
+    return (int(found[1]), int(found[2])) if found and int(found[1]) <= int(found[2]) else None
+
+
+def spoken(name: str, prefix: str = "") -> str:
+    """A column's name for people: ``o_order_date`` with the prefix ``o_`` is Order date."""
+    plain_name = name.removeprefix(prefix).replace(".", " ").replace("_", " ").strip()
+    return plain_name[:1].upper() + plain_name[1:]

@@ -174,3 +174,9 @@ def boost(count: Column, scaling: str = "sqrt") -> Column:
 def near(df: DataFrame, column: str, operands: list[str], gaps: int, ordered: bool = False) -> DataFrame:
     """Rows in which all operands (words or phrases) stand with at most so many other words between them: a filter, no shuffle."""
     return df.filter(words.has_near(F.col(column), operands, gaps, ordered))
+
+
+def in_one_element(df: DataFrame, column: str, query: str) -> DataFrame:
+    """Rows of which some one element of an array of texts matches the whole query, as an affiliation has all its words."""
+    q = joined(query)
+    return df.filter(F.coalesce(F.exists(column, lambda x: q.over([x])), F.lit(False)))

@@ -14,6 +14,7 @@ in any case, ids of a scheme in any spelling; the operator ``in collection`` tak
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from tessera.functions import ids
 from tessera.operators import groups, paging, search
 from tessera.operators.filters import Branch, Leaf, QueryError, compiled, from_text, in_any_case, kind_of, normal
-from tessera.operators.joins import collection_ids
+from tessera.operators.joins import collection_ids, with_names
 from tessera.sources.catalog import Entity, abilities, entity, resolved, scan
 
 KNOWN = {"get_rows", "filter_rows", "search", "group_by", "sort_by", "sample", "seed", "select", "page", "per_page", "cursor", "include_unknown"}
@@ -96,6 +97,8 @@ def filters_of_text(text: str, e: Entity, schema: T.StructType) -> list[dict[str
             key, colon, value = part.partition(":")
             if not colon:
                 raise QueryError(f"{part!r} is not in the form key:value")
+            if re.search(r"\|\s*[A-Za-z_.-]+:", value) and '"' not in value:
+                raise QueryError("alternatives are values of one key; other keys need a tree")
             column = resolved(e, schema, key.strip())
             out.append(raw_of(from_text(column, value, kind_of(schema, column))))
             part = ""
@@ -141,13 +144,13 @@ def run(spark: SparkSession, folder: str, query: dict[str, Any], tables: dict[st
     df, e = rows_of(spark, folder, query, tables, scored), entity(query["get_rows"])
     keys = [(x["column_id"], x.get("direction", "asc") == "desc", x.get("aggregate")) for x in query.get("sort_by", [])]
     if query.get("group_by"):
-        return grouped(df, e, query, keys)
+        return grouped(spark, folder, df, e, query, keys)
     if "sample" in query:
         if keys:
             raise QueryError("a sample has no order")
         df = paging.sample(df, query["sample"], e.unique, str(query.get("seed", "")))
     else:
-        order = [(c if c == "score" and scored else resolved(e, df.schema, c), down) for c, down, _ in keys] or ([("score", True), *e.search_order] if scored else list(e.order))
+        order = [(c if c == "score" and scored else resolved(e, df.schema, e.sort_as.get(c, c)), down) for c, down, _ in keys] or ([("score", True), *e.search_order] if scored else list(e.order))
         for c, _ in order:
             if "sort" not in abilities(kind_of(df.schema, c)):
                 raise QueryError(f"{c} cannot be sorted by")
@@ -159,7 +162,7 @@ def run(spark: SparkSession, folder: str, query: dict[str, Any], tables: dict[st
     return paging.selected(df, [resolved(e, df.schema, c) for c in query["select"]]) if "select" in query else df
 
 
-def grouped(df: DataFrame, e: Entity, query: dict[str, Any], keys: list[tuple[str, bool, str | None]]) -> DataFrame:
+def grouped(spark: SparkSession, folder: str, df: DataFrame, e: Entity, query: dict[str, Any], keys: list[tuple[str, bool, str | None]]) -> DataFrame:
     if "select" in query:
         raise QueryError("select does not go with group_by")
     columns = [resolved(e, df.schema, x["column_id"]) for x in query["group_by"]]
@@ -168,6 +171,8 @@ def grouped(df: DataFrame, e: Entity, query: dict[str, Any], keys: list[tuple[st
             raise QueryError(f"{c} cannot be grouped by")
     unknown, limit = bool(query.get("include_unknown")), query.get("per_page", 200)
     if len(columns) > 1:
+        if any(aggregate for _, _, aggregate in keys):
+            raise QueryError("nested buckets are not sorted by a metric")
         return groups.nested(df, columns, limit, unknown)
     metric, order = None, "-count"
     for c, down, aggregate in keys[:1]:
@@ -179,4 +184,8 @@ def grouped(df: DataFrame, e: Entity, query: dict[str, Any], keys: list[tuple[st
         else:
             raise QueryError("buckets are sorted by count, key or a metric")
         order = f"-{order}" if down else order
-    return groups.terms(df, columns[0], unknown, order, limit, metric)
+    buckets = groups.terms(df, columns[0], unknown, order, limit, metric)
+    if columns[0] not in e.names:
+        return buckets
+    of, key, name = e.names[columns[0]]
+    return with_names(buckets, "key", scan(spark, folder, of), key, name).orderBy(*groups.ordering(order))

@@ -849,3 +849,30 @@ def sum_per_nation(spark, folder):
 def knn_log_rescore(spark, folder):
     hits = vectors.nearest(scan(spark, folder, "embeddings"), "vec_id", "embedding", first_vector(spark, folder)).withColumn("cited", F.col("vec_id") % 5)
     return vectors.log_rescored(hits, "vec_id", "cited").select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query(r"select doc_id from documents where len(list_filter(string_split(text, chr(10)), lambda line: list_contains(string_split_regex(lower(line), '[^\p{L}\p{N}]+'), 'the') and list_contains(string_split_regex(lower(line), '[^\p{L}\p{N}]+'), 'with'))) > 0")
+def search_one_element(spark, folder):
+    df = scan(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    return search.in_one_element(df, "lines", "the with").select("doc_id")
+
+
+@query(f"with {NESTED} select o_orderkey, flags[:2] as flags, len(flags) > 2 as more from (select o_orderkey, list_sort(flags) as flags from nested) t where flags is not null")
+def truncate_arrays(spark, folder):
+    df = nested_orders(spark, folder).filter("lines is not null").select("o_orderkey", F.array_sort(F.array_distinct("lines.l_returnflag")).alias("flags"))
+    return tables.truncated(df, "flags", 2, "more")
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then 'https://example.org/orders/' || o_orderkey || '.pdf' end as url from orders")
+def content_links(spark, folder):
+    return tables.linked(scan(spark, folder, "orders"), "url", F.col("o_orderstatus") == "F", "https://example.org/orders/", "o_orderkey", ".pdf").select("o_orderkey", "url")
+
+
+@query("select c_nationkey as key, count(*) as count, n_name as key_display_name from customer join nation on n_nationkey = c_nationkey group by 1, 3 order by 2 desc, 1 limit 10")
+def group_with_names(spark, folder):
+    return plans.run(spark, folder, {"get_rows": "customer", "group_by": [{"column_id": "c_nationkey"}], "per_page": 10})
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 25")
+def sort_year_by_date(spark, folder):
+    return plans.run(spark, folder, {"get_rows": "orders", "filter_rows": [{"column_id": "status", "value": "f"}], "sort_by": [{"column_id": "year", "direction": "desc"}], "select": ["o_orderkey"]})

@@ -34,6 +34,10 @@ class Entity:
     search_order: tuple[tuple[str, bool], ...] = ()
     #: Columns of ids in a public scheme, or of own ids (letters): values may be in any spelling.
     schemes: dict[str, str] = field(default_factory=dict)
+    #: Names of grouped keys: column to entity, its key and its name.
+    names: dict[str, tuple[str, str, str]] = field(default_factory=dict)
+    #: What sorting by a name means, where it is another column.
+    sort_as: dict[str, str] = field(default_factory=dict)
 
 
 ENTITIES = {
@@ -41,10 +45,10 @@ ENTITIES = {
     for e in (
         Entity("region", "r_regionkey", name_column="r_name"),
         Entity("nation", "n_nationkey", name_column="n_name"),
-        Entity("customer", "c_custkey", (("c_acctbal", True),), {"c_name": "primary"}, name_column="c_name"),
+        Entity("customer", "c_custkey", (("c_acctbal", True),), {"c_name": "primary"}, name_column="c_name", names={"c_nationkey": ("nation", "n_nationkey", "n_name")}),
         Entity("supplier", "s_suppkey", (("s_acctbal", True),), {"s_name": "primary"}, name_column="s_name"),
         Entity("part", "p_partkey", (("p_retailprice", True),), {"p_name": "primary", "p_type": "secondary"}, name_column="p_name"),
-        Entity("orders", "o_orderkey", (("o_totalprice", True),), aliases={"status": "o_orderstatus", "price": "o_totalprice"}, codes={"o_orderstatus": "upper", "o_orderpriority": "upper"}),
+        Entity("orders", "o_orderkey", (("o_totalprice", True),), aliases={"status": "o_orderstatus", "price": "o_totalprice"}, codes={"o_orderstatus": "upper", "o_orderpriority": "upper"}, sort_as={"year": "o_orderdate"}),
         Entity("lineitem", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), (("l_orderkey", False),), codes={"l_returnflag": "upper", "l_linestatus": "upper"}),
         Entity("events", "event_id", (("ts", True),)),
         Entity("documents", "doc_id", (("n_chars", True),), {"text": "primary"}, popularity="n_chars", codes={"lang": "lower"}, search_order=(("n_chars", True),)),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.errors import QueryError
+
 
 def read(spark: SparkSession, path: str, form: str = "parquet", schema: T.StructType | None = None, **options) -> DataFrame:
     """A table in any of Spark's formats; csv and json should come with a schema."""
@@ -13,8 +15,15 @@ def read(spark: SparkSession, path: str, form: str = "parquet", schema: T.Struct
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+FORMS = ("parquet", "orc", "json", "csv")
+
+
 def write(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None, **options) -> None:
-    """A table, partitioned by columns if they are named."""
+    """A table, partitioned by columns if they are named. A csv has no nested columns: they become JSON."""
+    if form not in FORMS:
+        raise QueryError(f"tables are written as {', '.join(FORMS)}, not {form!r}")
+    if form == "csv":
+        df = df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.col(f.name) for f in df.schema])
     writer = df.write.format(form).mode("overwrite").options(**options)
     (writer.partitionBy(*by) if by else writer).save(path)
 
@@ -52,6 +61,17 @@ def with_elements(df: DataFrame, column: str, keep, count: str | None = None) ->
     return out.withColumn(count, F.coalesce(F.size(column), F.lit(0))) if count else out
 
 
+def truncated(df: DataFrame, column: str, most: int, flag: str | None = None) -> DataFrame:
+    """df with at most so many elements of an array column, and whether any were left out; the full array stays in the table."""
+    out = df.withColumn(flag, F.coalesce(F.size(column) > most, F.lit(False))) if flag else df
+    return out.withColumn(column, F.slice(column, 1, most))
+
+
+def linked(df: DataFrame, out: str, when: Column, base: str, row_id: str, ending: str = "") -> DataFrame:
+    """df with the address of a row's content where a condition says that there is one, else null."""
+    return df.withColumn(out, F.when(when, F.concat(F.lit(base), F.col(row_id).cast("string"), F.lit(ending))))
+
+
 def overridden(df: DataFrame, key: str, column: str, values: dict[str, str]) -> DataFrame:
     """df with the column's value replaced for the keys named in a small fixed table."""
     out = F.col(column)

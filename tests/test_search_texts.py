@@ -157,3 +157,21 @@ def test_rows_of_entities_are_told_apart(spark):
         e, df = catalog.entity(name), catalog.scan(spark, FOLDER, name)
         columns = (e.unique,) if isinstance(e.unique, str) else e.unique
         assert df.select(*columns).distinct().count() == df.count()
+
+
+def test_small_helpers(spark, tmp_path):
+    from tessera.sources import tables
+
+    assert text.years_in("rivers 1999-2004") == (1999, 2004)
+    assert text.years_in("2004-1999") is None and text.years_in("room 12-14") is None
+    assert text.spoken("o_order_date", "o_") == "Order date"
+    assert ids.canonical("slug", "https://example.org/licenses/CC-BY") == "cc-by"
+    with pytest.raises(QueryError):
+        tables.write(spark.range(1), str(tmp_path), "xlsx")
+    tables.write(spark.sql("select 1 as id, array(1, 2) as a"), f"{tmp_path}/t", "csv", header=True)
+    assert spark.read.csv(f"{tmp_path}/t", header=True).first().a == "[1,2]"
+    e, schema = catalog.entity("orders"), catalog.scan(spark, FOLDER, "orders").schema
+    with pytest.raises(QueryError, match="one key"):
+        query.filters_of_text("status:F|price:5", e, schema)
+    with pytest.raises(QueryError, match="nested"):
+        query.run(spark, FOLDER, {"get_rows": "orders", "group_by": [{"column_id": "status"}, {"column_id": "o_orderpriority"}], "sort_by": [{"column_id": "price", "aggregate": "mean"}]})
