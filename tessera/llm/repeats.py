@@ -14,9 +14,10 @@ occurrences of one string; all but the first are marked. So whatever is marked w
 
 *Crowded seeds.* A seed with more than ``MOST`` different segments, such as that of a line that very many documents share,
 is more than a chunk holds; of one with more than ``BUSY`` anchors, more than a task should read, equal segments are
-joined first, dealt by their bytes. Where more than MOST different ones are left, the anchor grows: each string reaches over the seed by half of what it has to spare on the left or on the right, so it is dealt anew by the seed
-with that half, and again, until no anchor is crowded; an anchor as long as a string has equal segments only. All then
-go through the same index.
+joined first, dealt by their bytes. Where more than MOST different ones are left, the anchor grows: each string reaches
+over the seed by half of what it has to spare on the left or on the right, so it is dealt anew by the seed with that
+half, and again, until no anchor is crowded; an anchor as long as a string has equal segments only. All then go through
+the same index.
 
 Texts are UTF-8 bytes; null is empty. Matches do not cross documents. Rows with equal id and text are one document, each
 reported; rows with equal id and other texts are documents of their own, told apart and ordered by a 64-bit digest of
