@@ -22,9 +22,23 @@ def own_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='tessera-')}"
 
 
-def spool(df: DataFrame) -> DataFrame:
-    """df as a table of its own: lineage ends there, and a lost executor costs nothing."""
+#: Spark's own switch for removing a query's shuffle files when it ends, rather than some time after.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> str:
+    """Write df to a new folder of the shared one: its path. The shuffle files of the job go when it ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return path
+
+
+def spool(df: DataFrame) -> DataFrame:
+    """df as a table of its own: lineage ends there, and a lost executor costs nothing."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
