@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -10,7 +9,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.spool import shared_folder
+from tessera.sources.spool import written
 
 #: A word, in the form that all contracts use.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,12 +27,10 @@ HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 def spool(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    path = written(df)
     if (held := HELD.get()) is not None:
         held.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
@@ -55,11 +52,11 @@ def scratch() -> Iterator[Scratch]:
     token = HELD.set([])
     try:
         yield block
-        written = HELD.get()
+        folders = HELD.get()
     finally:
         HELD.reset(token)
     read = {f.rstrip("/").split("/tessera-")[-1].split("/")[0] for r in block.results for f in r.inputFiles() if "/tessera-" in f}
-    for path in written:
+    for path in folders:
         if path.split("/tessera-")[-1] in read:
             if outer is not None:
                 outer.append(path)
@@ -67,11 +64,6 @@ def scratch() -> Iterator[Scratch]:
             remove(block.results[0].sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """After a step with a large shuffle: Spark removes the shuffle files of finished jobs once the driver has collected them."""
-    spark._jvm.java.lang.System.gc()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a spooled table."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -768,7 +768,7 @@ def test_sequences_keep_order_and_captions(spark):
 def test_pipeline(spark):
     import corpus_pipeline
 
-    docs, sizes = documents(spark, False), []
+    docs, sizes = documents(spark), []
     for name, stage in corpus_pipeline.STAGES:
         columns = docs.columns
         docs = common.spool(stage(spark, docs, ""))
