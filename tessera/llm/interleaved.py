@@ -76,17 +76,26 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
-def media_store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A written table of payloads, a row each: digest, n_bytes before padding, media (the stored form)."""
+def media_store(docs: DataFrame, text: str = "text", unique: bool = True) -> DataFrame:
+    """A written table of payloads: digest, n_bytes before padding, media (the stored form); a row for each payload.
+
+    With unique off no text is shuffled: a payload has a row from each task that met it, all of them alike.
+    """
     batch_bytes(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[str] = set()
         for b in batches:
-            raws = [t.encode() for t in b.column(1).to_pylist()]
-            yield batch([(d, len(raw), stored(padded(raw))) for d, raw in zip(b.column(0).to_pylist(), raws, strict=True)], STORE)
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if d not in met:
+                    met.add(d)
+                    raw = t.encode()
+                    rows.append((d, len(raw), stored(padded(raw))))
+            yield batch(rows, STORE)
 
-    texts = docs.select(digest(F.col(text)).alias("digest"), F.coalesce(text, F.lit("")).alias("text")).dropDuplicates(["digest"])
-    return spool(texts.mapInArrow(run, STORE))
+    texts = docs.select(digest(F.col(text)).alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
+    return spool((texts.dropDuplicates(["digest"]) if unique else texts).mapInArrow(run, STORE))
 
 
 def figures(store: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ def figures(store: DataFrame) -> DataFrame:
             yield batch(rows, FIGURES)
 
     # A table of its own, so that a later join on digests may be split where one is frequent.
-    return spool(store.select("digest", "n_bytes", "media").mapInArrow(run, FIGURES))
+    return spool(store.select("digest", "n_bytes", "media").mapInArrow(run, FIGURES).dropDuplicates(["digest"]))
 
 
 def parts(source: str | None) -> list[tuple[int, str, str | None, str | None, str | None, str | None]]:

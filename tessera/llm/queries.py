@@ -66,7 +66,7 @@ def op10_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pages = docs.select("doc_id", interleaved.as_page(F.col("doc_id"), F.col("text")).alias("html"))
     with scratch() as held:
-        payloads = interleaved.figures(interleaved.media_store(docs))
+        payloads = interleaved.figures(interleaved.media_store(docs, unique=False))
         out = interleaved.sequences(pages, payloads, "doc_id").filter("kind = 'media'")
         return held.keep(out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"))
 
